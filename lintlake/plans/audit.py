@@ -72,6 +72,9 @@ def audit_files(
         "repo", "path", "language", "family", "content", "lines", first_wins(F.col("sorted")).alias("hits"))
 
 
+HIT_FIELDS = ("line", "tkey", "ord", "seq", "rix", "a", "b", "text")
+
+
 def _fill(template: Column) -> Column:
     """Put a hit's values into a rule text; free text goes in last."""
     line = F.col("line")
@@ -84,20 +87,20 @@ def _fill(template: Column) -> Column:
 def explode_hits(audited: DataFrame, rules: list[Rule], context: bool = False) -> DataFrame:
     """Findings, one row each; ``context`` adds the code lines around them."""
     spark = audited.sparkSession
+    # The outer form, then a test on its output: for the inner one the optimizer infers
+    # "array not empty" and pushes it below, which evaluates all rules once more.
     if context:
-        top = max(r.rix for r in rules)
-        around = [0] * (top + 1)
+        around = [0] * (max(r.rix for r in rules) + 1)
         for r in rules:
             around[r.rix] = r.around
         arounds = F.array(*map(F.lit, around))
         lines = F.col("lines")
-        item = F.transform("hits", lambda h: F.struct(
-            h.alias("h"),
-            F.when(h["text"].isNull(), code_context(lines, h["line"], F.get(arounds, h["rix"]))).alias("code")))
-        rows = audited.select("repo", "path", F.explode(item).alias("e")).select(
-            "repo", "path", "e.h.*", "e.code")
+        item = F.transform("hits", lambda h: F.struct(*[h[c].alias(c) for c in HIT_FIELDS], F.when(
+            h["text"].isNull(), code_context(lines, h["line"], F.get(arounds, h["rix"]))).alias("code")))
+        rows = audited.select("repo", "path", F.inline_outer(item))
     else:
-        rows = audited.select("repo", "path", F.explode("hits").alias("h")).select("repo", "path", "h.*")
+        rows = audited.select("repo", "path", F.inline_outer("hits"))
+    rows = rows.where("rix IS NOT NULL")
     named = rows.join(F.broadcast(rules_dim(spark, rules)), "rix")
     suggestion = F.when(F.col("suggestion").isNotNull(), F.struct(
         _fill(F.col("suggestion")).alias("text"), _fill(F.col("suggestion_code")).alias("code")))
