@@ -207,6 +207,8 @@ _add("severity_counts", lambda s, d: SC.severity_counts(_found(s, d)),
 _add("repo_report", repo_report, O.on_found("SELECT * FROM report", more=_REPORT))
 _add("repo_report_basic", lambda s, d: repo_report(s, d, "basic", _NO_SQL),
      O.on_found("SELECT * FROM report", "basic", exclude=_NO_SQL, more=O.report_ctes("basic")))
+_add("report_of_findings", lambda s, d: SC.report_of_findings(FD.stored(_found(s, d)), file_stats(_chosen(s, d))),
+     O.on_found("SELECT * FROM report", more=_REPORT))
 _add("scores", lambda s, d: SC.score_findings(_found(s, d)),
      O.on_found("SELECT repo, security, performance, quality, cleanliness, overall, grade, band FROM report WHERE total_issues > 0", more=_REPORT))
 _add("grades", lambda s, d: read_table(s, f"{d}/documents.parquet", "doc_id").select(
@@ -270,8 +272,11 @@ UNION ALL SELECT repo, {_SEV}, 21, '... and ' || (count(*) - 20) || ' more' FROM
 
 
 def _report_json(s: SparkSession, d: str) -> DataFrame:
+    # Numbering writes the findings once; the report is computed from what was written.
     audited, rules = _audited(s, d)
-    return report_documents(SC.repo_report(audited, rules), explode_hits(audited, rules, context=True), file_stats(_chosen(s, d)))
+    issues = FD.assign_ids(explode_hits(audited, rules, context=True))
+    stats = file_stats(_chosen(s, d))
+    return report_documents(SC.report_of_findings(issues, stats), issues, stats)
 
 
 _add("report_json", _report_json)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import row_numbers
+from .rank import ensure_checkpoint_dir, row_numbers
 
 # Emission order inside a repository; files go by path.
 EMISSION = ["file", "ord", "seq"]
@@ -23,6 +23,12 @@ def _lookup(c: Column, table: dict[str, int], default: int) -> Column:
     return cases.otherwise(F.lit(default))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Findings written once to the checkpoint folder, for results that read them often."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def dedupe_findings(df: DataFrame) -> DataFrame:
     """First finding per (repo, file, line, title).
 
@@ -115,15 +121,15 @@ def compact_lines(df: DataFrame) -> DataFrame:
     count of the rest.
     """
     item = F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit(" — "), "title")
-    shown = df.where("severity IN ('critical', 'warning')")
-    shown = row_numbers(shown, "position", ["repo", "severity"], EMISSION).select("repo", "severity", "position", item.alias("text"))
-    info = info_top(df).select("repo", "severity", F.col("position").cast("bigint"), item.alias("text"))
-    counts = df.groupBy("repo", "severity").agg(F.count("*").alias("n"))
+    # Numbering writes the findings once; the parts below only read them back.
+    numbered = row_numbers(df.select("repo", "severity", *EMISSION, item.alias("text")), "position", ["repo", "severity"], EMISSION)
+    shown = numbered.where((F.col("severity") != "info") | (F.col("position") <= INFO_CAP)).select("repo", "severity", "position", "text")
+    counts = numbered.groupBy("repo", "severity").agg(F.max("position").alias("n"))
     label = F.when(F.col("severity") == "critical", "Critical").when(F.col("severity") == "warning", "Warnings").otherwise("Info")
     heads = counts.select("repo", "severity", F.lit(0).cast("bigint").alias("position"),
                           F.concat(label, F.lit(" ("), F.col("n").cast("string"), F.lit("):")).alias("text"))
     more = counts.where(f"severity = 'info' AND n > {INFO_CAP}").select(
         "repo", "severity", F.lit(INFO_CAP + 1).cast("bigint").alias("position"),
         F.concat(F.lit("... and "), (F.col("n") - INFO_CAP).cast("string"), F.lit(" more")).alias("text"))
-    return shown.unionByName(info).unionByName(heads).unionByName(more).select(
+    return shown.unionByName(heads).unionByName(more).select(
         "repo", severity_sort_key().alias("section"), "position", "text")

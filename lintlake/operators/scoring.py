@@ -102,9 +102,26 @@ def repo_report(audited: DataFrame, rules: list[Rule], profile: str = "extended"
         stats = stats.join(chosen, "repo", "left")
     else:
         stats = stats.withColumn("total_files", F.col("analyzed_files"))
-    scored = with_scores(stats).withColumn("summary", summary_text(
-        profile, F.col("analyzed_files"), F.col("analyzed_lines"), F.col("critical_issues"), F.col("warnings"), F.col("overall")))
-    return scored.select(
+    return _report_columns(with_scores(stats), profile)
+
+
+def report_of_findings(findings: DataFrame, stats: DataFrame, profile: str = "extended") -> DataFrame:
+    """The report of ``repo_report`` from stored findings and file statistics."""
+    files = stats.groupBy("repo").agg(F.count("*").alias("analyzed_files"), F.sum("lines").cast("bigint").alias("analyzed_lines"))
+    per_type = penalties(findings, profile).groupBy("repo").pivot("type", list(CAPS)).sum("points")
+    for t in CAPS:
+        per_type = per_type.withColumnRenamed(t, f"points_{t}")
+    names = ["critical_issues", "warnings", "suggestions"]
+    out = files.join(severity_counts(findings), "repo", "left").join(per_type, "repo", "left")
+    for n in names:
+        out = out.withColumn(n, F.coalesce(n, F.lit(0)).cast("bigint"))
+    out = out.withColumn("total_issues", sum((F.col(n) for n in names[1:]), F.col(names[0])))
+    return _report_columns(with_scores(out.withColumn("total_files", F.col("analyzed_files"))), profile)
+
+
+def _report_columns(scored: DataFrame, profile: str) -> DataFrame:
+    return scored.withColumn("summary", summary_text(
+        profile, F.col("analyzed_files"), F.col("analyzed_lines"), F.col("critical_issues"), F.col("warnings"), F.col("overall"))).select(
         "repo", "total_files", "analyzed_files", "analyzed_lines", "total_issues", "critical_issues", "warnings",
         "suggestions", "security", "performance", "quality", "cleanliness", "overall", "grade", "band", "summary")
 
