@@ -92,14 +92,18 @@ def line_array(c: Column) -> Column:
 
 
 def utf16_len(c: Column) -> Column:
-    """Length in UTF-16 units.  Only characters beyond the BMP take two."""
-    return (F.length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    """Length in UTF-16 units.  Only characters beyond the BMP take two, so an ASCII text
+    (as many bytes as characters) needs no encoding."""
+    exact = (F.length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    return F.when(F.octet_length(c) == F.length(c), F.length(c)).otherwise(exact)
 
 
 def utf16_prefix(c: Column, units: int) -> Column:
     """First ``units`` UTF-16 units; a character cut in half is dropped."""
-    padded = F.regexp_replace(c, r"([\x{10000}-\x{10FFFF}])", MARK + "$1")
-    return F.translate(F.substring(padded, 1, units), MARK, "")
+    head = F.substring(c, 1, units)
+    padded = F.regexp_replace(head, r"([\x{10000}-\x{10FFFF}])", MARK + "$1")
+    return F.when(F.octet_length(head) == F.length(head), head).otherwise(
+        F.translate(F.substring(padded, 1, units), MARK, ""))
 
 
 def without_mark(c: Column) -> Column:

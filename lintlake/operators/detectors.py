@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MARK, js_trim, occurrences, to_java, utf16_len, utf16_prefix
 from ..rules.model import Rule
-from .match import hit, let, mark, marked_lines, matches, rule_hit
+from .match import hit, let, lines_where, mark, marked_lines, matches, rule_hit
 
 # Fixed values.
 LINE_LIMIT = 120
@@ -60,23 +60,23 @@ FROM_TAGGED = r"^FROM\s+\S+:\S+"
 FROM_LATEST = r"^FROM\s+\S+:latest"
 
 
-def _has(*literals: str, text: str = "body") -> Column:
-    cond = F.lit(False)
-    for x in literals:
-        cond = cond | F.contains(F.col(text), F.lit(x))
+def _has_any(c: Column, *literals: str) -> Column:
+    cond = F.contains(c, F.lit(literals[0]))
+    for x in literals[1:]:
+        cond = cond | F.contains(c, F.lit(x))
     return cond
 
 
+def _has(*literals: str, text: str = "body") -> Column:
+    return _has_any(F.col(text), *literals)
+
+
 def _gated(rule: Rule, cond: Column, value: Column) -> Column:
     if rule.families is not None:
         cond = F.col("family").isin(*rule.families) & cond
     return F.when(cond, value)
 
 
-def _numbered() -> Column:
-    return F.transform(F.col("lines"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
-
-
 def _starts(c: Column, *prefixes: str) -> Column:
     cond = F.lit(False)
     for p in prefixes:
@@ -87,12 +87,12 @@ def _starts(c: Column, *prefixes: str) -> Column:
 # --- line by line ---------------------------------------------------------------------
 
 def _long_lines(rule: Rule, comment_marks: tuple[str, ...]) -> Column:
-    # a character has at most two units, so short lines need no exact count
-    long = F.filter(_numbered(), lambda s: (
-        (F.length(s["text"]) * 2 > LINE_LIMIT)
-        & (utf16_len(s["text"]) > LINE_LIMIT)
-        & ~_starts(js_trim(s["text"]), *comment_marks)
-        & ~F.contains(s["text"], F.lit("http"))))
+    # a text has at least as many bytes as units: most lines need no exact count
+    long = lines_where(lambda t: (
+        (F.octet_length(t) > LINE_LIMIT)
+        & ((F.length(t) > LINE_LIMIT) | (utf16_len(t) > LINE_LIMIT))
+        & ~F.contains(t, F.lit("http"))
+        & ~_starts(js_trim(t), *comment_marks)))
     return F.transform(long, lambda s: rule_hit(
         rule, s["line"], s["line"], a=utf16_len(s["text"]),
         text=F.concat(utf16_prefix(s["text"], SNIPPET_UNITS), F.lit("..."))))
@@ -110,18 +110,18 @@ def commented(rules: list[Rule]) -> Column:
     """Comment lines that hold code; the first few of a file."""
     rule = rules[0]
 
-    def is_code(s: Column) -> Column:
-        t = js_trim(s["text"])
+    def is_code(line: Column) -> Column:
+        t = js_trim(line)
         comment = (
             (F.startswith(t, F.lit("//")) & ~F.startswith(t, F.lit("///")))
             | (F.startswith(t, F.lit("#")) & ~_starts(t, "#!", "#include"))
             | (F.startswith(t, F.lit("--")) & F.coalesce(F.col("comment") == "--", F.lit(False)))
         )
         text = js_trim(F.regexp_replace(t, r"^(?://|#|--)", ""))
-        return comment & (F.length(text) > 2) & (utf16_len(text) > 5) & ~_starts(text, *COMMENT_NOTES) & text.rlike(
-            to_java(CODE_WORDS))
+        return _has_any(line, "//", "#", "--") & comment & (utf16_len(text) > 5) & ~_starts(
+            text, *COMMENT_NOTES) & text.rlike(to_java(CODE_WORDS))
 
-    found = F.slice(F.filter(_numbered(), is_code), 1, COMMENTED_CAP)
+    found = F.slice(lines_where(is_code), 1, COMMENTED_CAP)
     return _gated(rule, _has("//", "#", "--"), F.transform(found, lambda s: rule_hit(rule, s["line"], s["line"])))
 
 
@@ -168,7 +168,7 @@ def captured_text(rules: list[Rule]) -> Column:
 def short_names(rules: list[Rule]) -> Column:
     rule = rules[0]
     found = F.filter(matches(SHORT_NAME), lambda m: ~m["g1"].isin(*SHORT_NAMES_ALLOWED))
-    return F.when(_has("let", "const", "var"),
+    return F.when(_has("let", "const", "var") & _has("="),
                   F.transform(found, lambda m: rule_hit(rule, m["line"], m["seq"], a=m["g1"])))
 
 
@@ -365,25 +365,26 @@ def duplicate_block(rules: list[Rule]) -> Column:
 
     def windows(t: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(t) - DUPLICATE_WINDOW)
-        block = F.transform(starts, lambda i: F.struct(
+        return F.transform(starts, lambda i: F.struct(
             F.concat_ws("|", *[F.get(t, i + k) for k in range(DUPLICATE_WINDOW)]).alias("block"), i.alias("i")))
-        return F.filter(block, lambda w: (F.length(w["block"]) * 2 >= DUPLICATE_MIN_CHARS) & (
-            utf16_len(F.regexp_replace(w["block"], to_java(r"\s"), "")) >= DUPLICATE_MIN_CHARS))
 
     def first_repeat(w: Column) -> Column:
-        # equal blocks become neighbours, the earliest first
-        repeats = F.transform(w, lambda x, k: F.when(
-            (k > 0) & (F.get(w, k - 1)["block"] == x["block"]),
-            F.struct(x["i"].alias("i"), F.get(w, k - 1)["i"].alias("first"))))
-        return F.array_min(repeats)
+        # equal blocks are neighbours, the earliest first; only repeats need the length test
+        return F.array_min(F.transform(w, lambda x, k: F.when(
+            (k > 0) & (F.get(w, k - 1)["block"] == x["block"])
+            & (utf16_len(F.regexp_replace(x["block"], to_java(r"\s"), "")) >= DUPLICATE_MIN_CHARS),
+            F.struct(x["i"].alias("i"), F.get(w, k - 1)["i"].alias("first")))))
 
     def report(w: Column) -> Column:
         some = F.size(F.array_distinct(F.transform(w, lambda x: x["block"]))) < F.size(w)
-        return F.when(some, let(let(F.sort_array(w), first_repeat), lambda r: F.array(rule_hit(
-            rule, r["i"] + 1, r["i"] + 1, a=r["first"] + 1, b=r["first"] + DUPLICATE_WINDOW))))
+        return F.when(some, let(let(F.sort_array(w), first_repeat), lambda r: F.when(r.isNotNull(), F.array(rule_hit(
+            rule, r["i"] + 1, r["i"] + 1, a=r["first"] + 1, b=r["first"] + DUPLICATE_WINDOW)))))
+
+    def repeated(t: Column) -> Column:
+        # every line of a repeated window is itself a repeat
+        return F.when(F.size(t) - F.size(F.array_distinct(t)) >= DUPLICATE_WINDOW, let(windows(t), report))
 
-    return _gated(rule, F.size("lines") >= DUPLICATE_MIN_LINES,
-                  let(let(F.transform(F.col("lines"), js_trim), windows), report))
+    return _gated(rule, F.size("lines") >= DUPLICATE_MIN_LINES, let(F.transform(F.col("lines"), js_trim), repeated))
 
 
 # --- names that are never used --------------------------------------------------------
@@ -404,9 +405,15 @@ def unused_names(rules: list[Rule]) -> Column:
         return hit(c["rix"], c["tkey"], c["ord"], c["line"], c["seq"], a=c["a"])
 
     def plain(cs: Column) -> Column:
-        names = F.transform(F.filter(cs, lambda c: c["name"].rlike(r"^\w+$")), lambda c: F.struct(
-            c["name"].alias("t"), F.lit(0).alias("k"), c.alias("c")))
-        words = F.transform(F.regexp_extract_all(body, F.lit(r"(\w+)"), F.lit(1)), lambda w: F.struct(
+        return let(F.transform(F.filter(cs, lambda c: c["name"].rlike(r"^\w+$")), lambda c: F.struct(
+            c["name"].alias("t"), F.lit(0).alias("k"), c.alias("c"))), unused)
+
+    def unused(names: Column) -> Column:
+        wanted = F.transform(names, lambda n: n["t"])
+        every = F.regexp_extract_all(body, F.lit(r"(\w+)"), F.lit(1))
+        # few names: keep only their own words, which leaves little to sort
+        few = let(wanted, lambda ws: F.filter(every, lambda w: F.array_contains(ws, w)))
+        words = F.transform(F.when(F.size(names) <= FEW_NAMES, few).otherwise(every), lambda w: F.struct(
             w.alias("t"), F.lit(1).alias("k"), F.lit(None).cast(CANDIDATE).alias("c")))
 
         def once(s: Column) -> Column:
@@ -428,6 +435,8 @@ def unused_names(rules: list[Rule]) -> Column:
     return let(candidates, lambda cs: F.concat(F.coalesce(plain(cs), F.array().cast(HITS)), odd(cs)))
 
 
+# Up to this many names, words are looked up in the names; beyond, all words are sorted.
+FEW_NAMES = 64
 CANDIDATE = "struct<seq:int,line:int,name:string,a:string,rix:int,tkey:int,ord:int>"
 HITS = "array<struct<line:int,tkey:int,ord:int,seq:int,rix:int,a:string,b:string,text:string>>"
 
@@ -457,15 +466,17 @@ def _js_clause(m: Column) -> Column:
 def unused_vars_js(rules: list[Rule]) -> Column:
     rule = rules[0]
     found = F.filter(matches(JS_DEFINITION), lambda m: ~F.startswith(m["g1"], F.lit("_")))
-    return _gated(rule, _has("const", "let", "var"),
+    return _gated(rule, _has("const", "let", "var") & _has("="),
                   F.transform(found, lambda m: _candidate(rule, m["seq"], m["line"], m["g1"])))
 
 
 def unused_vars_basic(rules: list[Rule]) -> Column:
     rule = rules[0]
-    found = F.concat(*[F.filter(matches(p), lambda m: ~F.startswith(m["g1"], F.lit("_"))) for p in BASIC_DEFINITIONS])
-    return F.when(_has("const", "let", "var", "function", "=>"),
-                  F.transform(found, lambda m, i: _candidate(rule, i, m["line"], m["g1"])))
+    gates = [_has("const", "let", "var") & _has("="), _has("function"), _has(":") & _has("function", "=>")]
+    none = F.expr("cast(array() as array<struct<seq:int,line:int,g1:string>>)")
+    parts = [F.when(g, matches(p)).otherwise(none) for g, p in zip(gates, BASIC_DEFINITIONS)]
+    found = F.filter(F.concat(*parts), lambda m: ~F.startswith(m["g1"], F.lit("_")))
+    return F.transform(found, lambda m, i: _candidate(rule, i, m["line"], m["g1"]))
 
 
 def imports_js(rules: list[Rule]) -> Column:

@@ -140,12 +140,26 @@ def matches(pattern: str, flags: str = "", groups: tuple[int, ...] = (1,)) -> Co
     """All matches with captured text: array<struct<seq, line, g1, ...>>."""
     body = F.col("body")
     java = F.lit(to_java(pattern, flags))
-    parts = F.struct(
-        match_lines(mark(body, pattern, flags)).alias("line"),
-        *[F.regexp_extract_all(body, java, F.lit(g)).alias(f"g{g}") for g in groups],
-    )
-    return let(parts, lambda p: F.transform(p["line"], lambda line, i: F.struct(
-        i.alias("seq"), line.alias("line"), *[F.get(p[f"g{g}"], i).alias(f"g{g}") for g in groups])))
+
+    def located(marked: Column) -> Column:
+        parts = F.struct(
+            match_lines(marked).alias("line"),
+            *[F.regexp_extract_all(body, java, F.lit(g)).alias(f"g{g}") for g in groups],
+        )
+        rows = let(parts, lambda p: F.transform(p["line"], lambda line, i: F.struct(
+            i.alias("seq"), line.alias("line"), *[F.get(p[f"g{g}"], i).alias(f"g{g}") for g in groups])))
+        # most files have no match: leave it at one scan for them
+        empty = F.expr(f"cast(array() as array<struct<seq:int,line:int,{','.join(f'g{g}:string' for g in groups)}>>)")
+        return F.when(F.contains(marked, F.lit(MARK)), rows).otherwise(empty)
+
+    return let(mark(body, pattern, flags), located)
+
+
+def lines_where(test: Callable[[Column], Column]) -> Column:
+    """Numbered lines that pass a test: array<struct<line, text>>."""
+    return F.filter(
+        F.transform(F.col("lines"), lambda t, i: F.when(test(t), F.struct((i + 1).alias("line"), t.alias("text")))),
+        lambda s: s.isNotNull())
 
 
 def code_context(lines: Column, line: Column, around: Column) -> Column:
