@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import valid_utf8
+from ..operators.rank import ensure_checkpoint_dir
+from ..operators.selection import ignored_dir, select_files
 
 TREE_SCHEMA = "array<struct<path:string,type:string,size:bigint,sha:string>>"
 PAYLOAD_SCHEMA = "struct<encoding:string,content:string>"
@@ -27,23 +35,90 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return balanced(spark.read.parquet(path).select(*columns))
 
 
-def scan_directory(spark: SparkSession, root: str, repo: str, with_content: bool = True) -> DataFrame:
-    """Regular files under a directory: ``repo, path, size_bytes[, content]``.
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of each folder: regular files and folders, no links."""
+    for batch in batches:
+        for uri, rel in zip(batch["uri"], batch["rel"]):
+            fs, folder = pafs.FileSystem.from_uri(uri)
+            local = isinstance(fs, pafs.LocalFileSystem)
+            try:
+                infos = fs.get_file_info(pafs.FileSelector(folder))
+            except OSError:
+                continue  # a folder that may not be read is left out
+            rows = [
+                (fs_uri(uri, x.base_name), f"{rel}{x.base_name}", x.type == pafs.FileType.Directory, x.size or 0)
+                for x in infos
+                if x.type in (pafs.FileType.File, pafs.FileType.Directory) and not (local and os.path.islink(x.path))
+            ]
+            yield pd.DataFrame(rows, columns=["uri", "path", "is_dir", "size_bytes"])
+
+
+def fs_uri(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{quote(name)}"
+
+
+def list_directory(spark: SparkSession, root: str, repo: str) -> DataFrame:
+    """Files under a directory: ``repo, path, size_bytes, uri``.
 
-    Without content only metadata is listed.  Files that cannot be read are skipped.
+    The tree is walked level by level, the folders of a level spread over tasks; ignored
+    folders are not entered and appear as one row whose path ends with a slash.  Spark's
+    own file sources are not used because they hide names that start with ``_`` or ``.``,
+    such as ``__init__.py`` and ``.env``.
     """
-    # Spark lists paths that start with _ or . as hidden; the scan keeps the file ones.
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True).load(root)
-    )
-    base = root.rstrip("/") + "/"
-    rel = F.element_at(F.split(F.col("path"), "\\Q" + base + "\\E", 2), 2)
-    cols = [F.lit(repo).alias("repo"), F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("path"),
-            F.col("length").alias("size_bytes")]
-    if with_content:
-        cols.append(valid_utf8(F.col("content")).alias("content"))
-    return raw.select(*cols)
+    ensure_checkpoint_dir(spark)
+    uri = root if "://" in root else "file://" + quote(os.path.abspath(root))
+    frontier = spark.createDataFrame([(uri, "")], "uri string, rel string")
+    found: DataFrame | None = None
+    while True:
+        level = (
+            frontier.repartition("uri").mapInPandas(_list_folders, "uri string, path string, is_dir boolean, size_bytes bigint")
+            .withColumn("path", F.when(F.col("is_dir"), F.concat("path", F.lit("/"))).otherwise(F.col("path")))
+            .withColumn("ignored", F.col("is_dir") & ignored_dir(F.col("path")).isNotNull())
+            .checkpoint()  # every level is listed once
+        )
+        rows = level.where("NOT is_dir OR ignored").select(
+            F.lit(repo).alias("repo"), "path", F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("size_bytes")).cast("bigint").alias("size_bytes"), "uri")
+        found = rows if found is None else found.unionByName(rows)
+        frontier = level.where("is_dir AND NOT ignored").select("uri", F.col("path").alias("rel"))
+        if frontier.isEmpty():
+            return found
+
+
+READ_CHUNK_BYTES = 32 * 1024 * 1024
+
+
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows, held = [], 0
+        for r in batch.itertuples(index=False):
+            fs, path = pafs.FileSystem.from_uri(r.uri)
+            try:
+                with fs.open_input_stream(path) as f:
+                    data = f.read()
+            except OSError:
+                continue  # unreadable files are skipped
+            rows.append((r.repo, r.path, r.size_bytes, data))
+            held += len(data)
+            if held >= READ_CHUNK_BYTES:
+                yield pd.DataFrame(rows, columns=["repo", "path", "size_bytes", "data"])
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["repo", "path", "size_bytes", "data"])
+
+
+def read_contents(listed: DataFrame) -> DataFrame:
+    """Text of listed files: ``repo, path, size_bytes, content``.
+
+    Select first: only the files that are left are opened.
+    """
+    spread = listed.where("NOT endswith(path, '/')").select("repo", "path", "size_bytes", "uri").repartition("path")
+    raw = spread.mapInPandas(_read_files, "repo string, path string, size_bytes bigint, data binary")
+    return raw.select("repo", "path", "size_bytes", valid_utf8(F.col("data")).alias("content"))
+
+
+def scan_directory(spark: SparkSession, root: str, repo: str, profile: str = "extended") -> DataFrame:
+    """The files of a directory that the profile analyzes, with their text."""
+    return read_contents(select_files(list_directory(spark, root, repo), profile))
 
 
 def tree_blobs(trees: DataFrame) -> DataFrame:
