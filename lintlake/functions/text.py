@@ -38,7 +38,8 @@ def _rewrite(pattern: str, flags: str, ws: str, eol: str, java: bool) -> str:
     while i < n:
         c = pattern[i]
         if pattern.startswith(r"[\s\S]", i) and not in_class:
-            out.append("(?s:.)")
+            # a class, not a group: Java repeats groups by recursion
+            out.append(r"[\x{0}-\x{10FFFF}]")
             i += 6
             continue
         if c == "\\":

@@ -17,6 +17,8 @@ def classify_language(files: DataFrame, profile: str = "extended") -> DataFrame:
     lower-cased last extension.  ``basic`` knows lower-cased last extensions only and
     has neither family nor comment marker.
     """
+    if {"language", "family", "comment"} <= set(files.columns):
+        return files  # classified before, as by the selection
     spark = files.sparkSession
     if profile == "basic":
         dim = dims.lang_basic_dim(spark).withColumnRenamed("name", "_n").withColumnRenamed("key", "_k")

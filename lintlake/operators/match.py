@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.text import MARK, line_array, to_java, without_mark
 from ..rules.model import Rule
 
+# Ends the note after a marker; only looked for right behind a marker.
+STOP = "\u0006"
+
 # A line that looks like one of these defines a pattern itself.
 _REGEX_LITERAL = r"/[^/]+/"
 _PATTERN_WORD = r"pattern|push\s*\(\s*\{|pats\.push|funcs\.push"
@@ -66,7 +69,12 @@ def marked_rule(rule: Rule) -> Column:
 
     Built as SQL text: one call into the JVM per rule instead of a dozen.
     """
-    marked = f"regexp_replace(body, {sql_text(to_java(rule.pattern, rule.flags))}, {sql_text(MARK + '$0')})"
+    if rule.linear is not None:
+        # real matches become MARK, group 1, STOP; failed attempts MARK, STOP
+        tried = f"regexp_replace(body, {sql_text(to_java(rule.linear, rule.flags))}, {sql_text(MARK + '$1' + STOP + '$0')})"
+        marked = f"regexp_replace(replace({tried}, {sql_text(MARK + STOP)}, ''), {sql_text(f'{MARK}[^{STOP}]{STOP}')}, {sql_text(MARK)})"
+    else:
+        marked = f"regexp_replace(body, {sql_text(to_java(rule.pattern, rule.flags))}, {sql_text(MARK + '$0')})"
     if rule.drop is not None:
         excluded = f"{MARK}(?={to_java(rule.drop, rule.flags)})"
         marked = f"regexp_replace({marked}, {sql_text(excluded)}, '')"

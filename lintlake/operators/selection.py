@@ -74,11 +74,16 @@ def skip_reason(inventory: DataFrame, profile: str = "extended") -> DataFrame:
         .when(unknown, "unknown_language").when(too_big, "too_big"))
 
 
-def select_files(files: DataFrame, profile: str = "extended") -> DataFrame:
-    """Files to analyze.  Size comes from ``size_bytes`` or else from the content."""
+def select_files(files: DataFrame, profile: str = "extended", classified: bool = False) -> DataFrame:
+    """Files to analyze.  Size comes from ``size_bytes`` or else from the content.
+
+    ``classified`` keeps the language columns where the selection had to look them up.
+    """
     cols = files.columns
     sized = files if "size_bytes" in cols else files.withColumn("size_bytes", F.octet_length("content"))
-    return skip_reason(sized, profile).where("skip_reason IS NULL").select(*cols)
+    kept = skip_reason(sized, profile).where("skip_reason IS NULL")
+    extra = ["language", "family", "comment"] if classified and profile != "basic" else []
+    return kept.select(*cols, *[c for c in extra if c not in cols])
 
 
 def skip_counts(inventory: DataFrame, profile: str = "extended") -> DataFrame:

@@ -63,7 +63,7 @@ def audit_files(
     some rule groups also reduces the work to them.
     """
     rules = profile_rules(profile, groups) if rules is None else rules
-    chosen = select_files(files, profile) if select else files
+    chosen = select_files(files, profile, classified=True) if select else files
     ready = prepare(classify_language(chosen, profile))
     # Sorting puts equal (line, title) side by side, earliest first.
     found = ready.select(

@@ -150,7 +150,8 @@ def _build() -> list[Rule]:
         "The same function call is repeated multiple times. Consider if this is intentional.",
         "If the operation is expensive and returns the same result, cache it.",
         "const result = expensiveOperation();\n// Use result multiple times",
-        pattern=r"(\w+\([^)]*\));\s*(?:\1;\s*){2,}", needs=("(", ");"), around=2, group="redundant_loops"))
+        # possessive: the same matches without recursion per repeat
+        pattern=r"(\w+\([^)]*\));\s*(?:\1;\s*){2,}+", needs=("(", ");"), around=2, group="redundant_loops"))
     r.append(Rule(
         "B-32", "performance", "warning", "String Concatenation in Loop",
         "String concatenation in loops creates many intermediate strings. Use array.join() for better performance.",

@@ -122,6 +122,10 @@ SHELL_INJECTION = [
 # --- performance (fixed values) -------------------------------------------------------
 LOOP = r"(?:for|while)\s*[\s(]"
 CONCAT = r"""(?:\+=\s*['"`]|['"`]\s*\+\s*['"`])"""
+# Linear forms of the two loop rules (see Rule.linear).  If a loop header is not followed
+# by what the rule asks for, neither is any later header in front of the same brace.
+NESTED_LINEAR = LOOP + r"[^{}]*+(?:\{(?>[^{}]*?" + LOOP + r")[^{}]*+(\{))?"
+CONCAT_LINEAR = LOOP + r"""[^{}]*+(?:\{(?:[^}]*(?:\+=\s*|['"`]\s*\+\s*)(['"`])|[^}]*+))?"""
 # Advice of the concatenation rule by language family.
 CONCAT_ADVICE = [
     (JVM[:1] + ("csharp",), "Use StringBuilder."),
@@ -274,12 +278,13 @@ def _build() -> list[Rule]:
         "PERF-01", "performance", "info", "Nested Loop (O(n²) potential)",
         "Nested loops can cause quadratic complexity on large datasets.",
         "Consider hash maps, Sets, or algorithmic optimizations.",
-        pattern=LOOP + r"[^{}]*\{[^{}]*" + LOOP + r"[^{}]*\{", needs=("{", "for|while"), group="perf_loops"))
+        pattern=LOOP + r"[^{}]*\{[^{}]*" + LOOP + r"[^{}]*\{", linear=NESTED_LINEAR, needs=("{", "for|while"),
+        group="perf_loops"))
     for families, advice in CONCAT_ADVICE:
         r.append(Rule(
             "PERF-02", "performance", "warning", "String Concatenation in Loop",
             "Building strings by concatenation in loops is inefficient.", advice,
-            families=families, pattern=LOOP + r"[^{}]*\{[^}]*" + CONCAT, needs=("{", "for|while", "+"),
+            families=families, pattern=LOOP + r"[^{}]*\{[^}]*" + CONCAT, linear=CONCAT_LINEAR, needs=("{", "for|while", "+"),
             group="perf_loops"))
     for i, (group, severity, title, families, pattern, description, advice, needs) in enumerate(PERFORMANCE, 3):
         r.append(Rule(

@@ -18,6 +18,9 @@ class Rule:
     pattern: str | None = None  # portable spelling, see functions.text
     flags: str = ""  # "i" ignore ASCII case, "m" line-anchored ^
     needs: tuple[str, ...] = ()  # literals a match cannot do without; "a|b" means either
+    # Same matches in linear time: also consumes attempts that fail, so that no text is
+    # scanned once per attempt.  Group 1 takes part in real matches only.
+    linear: str | None = None
     drop: str | None = None  # a match whose text starts like this is no finding
     suppress: bool = True  # skip lines that define a pattern themselves
     around: int = 1  # lines of context on each side

@@ -9,6 +9,22 @@ PIECES = st.sampled_from(["eval(", "medieval(", "x", " ", "\n", "// TODO", ": y"
 TEXTS = st.lists(st.lists(PIECES, max_size=14).map("".join), min_size=1, max_size=12)
 
 
+LOOP = r"(?:for|while)\s*[\s(]"
+CODE = st.sampled_from(["for ", "for(", "while", "{", "}", "(", " ", "\n", "s += 'x'", "'a' + 'b'", "x", "+=", "'"])
+LOOPS = st.lists(st.lists(CODE, max_size=16).map("".join), min_size=1, max_size=40)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(LOOPS)
+def test_linear_loop_rules_equal_the_plain_patterns(audit, texts):
+    found = audit({f"f{i}.js": t for i, t in enumerate(texts)}, groups=("perf_loops",))
+    plain = {"PERF-01": LOOP + r"[^{}]*\{[^{}]*" + LOOP + r"[^{}]*\{",
+             "PERF-02": LOOP + r"""[^{}]*\{[^}]*(?:\+=\s*['"`]|['"`]\s*\+\s*['"`])"""}
+    want = {(f"f{i}.js", rule, 1 + t.count("\n", 0, m.start()))
+            for i, t in enumerate(texts) for rule, p in plain.items() for m in re.finditer(p, t, re.A)}
+    assert {(f["file"], f["rule_id"], f["line"]) for f in found} == want
+
+
 def by_hand(text):
     out = set()
     for m in re.finditer(r"\beval\s*\(", text, re.A):

@@ -156,3 +156,19 @@ def test_context_is_clamped_and_highlighted(audit):
 def test_marker_character_in_the_text_is_harmless(audit):
     found = audit({"a.js": "\u0007x\neval(1)\n\u0007\n"}, groups=("dangerous_functions",))
     assert [f["line"] for f in found] == [2]
+
+
+def test_long_spans_and_many_repeats_do_not_exhaust_the_stack(audit):
+    gap = "x\n" * 100_000
+    found = audit({
+        "a.cs": "new SqlCommand(" + gap + "+ y", "b.py": "import time\n" + gap + "time.sleep(1)",
+        "c.go": "defer f.Close()\n" + gap + "for", "d.go": "import (\n" + '"a/b"\n' * 20_000 + ")"})
+    assert lines(found, "SEC-30") == [("a.cs", 1)] and lines(found, "PERF-06") == [("b.py", 1)]
+    assert lines(found, "PERF-14") == [("c.go", 1)]
+    found = audit({"e.js": "f(a);\n" * 30_000, "f.css": "/*" + gap + "return \n*/"}, "basic")
+    assert lines(found, "B-31") == [("e.js", 1)] and lines(found, "B-44") == [("f.css", 1)]
+
+
+def test_loop_rules_are_linear_in_the_text(audit):
+    found = audit({"a.js": "for x " * 150_000 + "{", "b.js": "for (x) {" * 100_000 + " s"}, groups=("perf_loops",))
+    assert lines(found, "PERF-01") == [("b.js", 1)]
