@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +31,10 @@ def rules_dim(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 
 @lru_cache(maxsize=64)
-def hits_column(rules: tuple[Rule, ...]) -> Column:
+def hits_column(rules: tuple[Rule, ...], gateway: int = 0) -> Column:
     """All raw hits of a prepared file row as one array.
 
-    The column depends on the rules alone, so it is built once per rule set.
+    The column depends on the rules alone, so it is built once per rule set (and JVM).
     """
     patterns = [r for r in rules if r.detector is None]
     names = [r for r in rules if r.detector in CANDIDATES]
@@ -60,14 +61,15 @@ def audit_files(
     """One row per analyzed file with its deduplicated hits.
 
     ``files`` has ``repo, path, content`` with one row per (repo, path).  Reducing to
-    some rule groups also reduces the work to them.
+    some rule groups also reduces the work to them.  Count or explode ``hits``; a filter on
+    it would be pushed below and evaluate the rules again.
     """
     rules = profile_rules(profile, groups) if rules is None else rules
     chosen = select_files(files, profile, classified=True) if select else files
     ready = prepare(classify_language(chosen, profile))
     # Sorting puts equal (line, title) side by side, earliest first.
     found = ready.select(
-        "repo", "path", "language", "family", "content", "lines", F.sort_array(hits_column(tuple(rules))).alias("sorted"))
+        "repo", "path", "language", "family", "content", "lines", F.sort_array(hits_column(tuple(rules), id(SparkContext._gateway))).alias("sorted"))
     return found.select(
         "repo", "path", "language", "family", "content", "lines", first_wins(F.col("sorted")).alias("hits"))
 

@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.findings import assign_ids
 from ..operators.rank import row_numbers
 
 PAGE_SIZE = 1000
+PAGE_BYTES = 16 * 1024 * 1024
 
 
-def report_documents(report: DataFrame, findings: DataFrame, files: DataFrame, page: int = PAGE_SIZE) -> DataFrame:
-    """The report of every repository as JSON documents: ``repo, section, page, json``.
+def report_documents(
+    report: DataFrame, findings: DataFrame, files: DataFrame, page: int = PAGE_SIZE, page_bytes: int = PAGE_BYTES,
+) -> DataFrame:
+    """The report of every repository as JSON documents: ``repo, section, page, part, json``.
 
-    One header per repository (statistics, scores, summary, language map, when present)
-    and its issues and files in pages of fixed size.  A repository of any size becomes
-    more pages; none is ever assembled in one row.
+    One header per repository (statistics, scores, summary) and its issues and files in
+    pages of a fixed number of entries.  A page whose entries are long (snippets of
+    minified code) is cut into parts by bytes.  A repository of any size becomes more
+    documents; none is ever assembled in one row.
     """
     head_cols = [c for c in report.columns if c != "repo"]
-    head = report.select("repo", F.lit("header").alias("section"), F.lit(0).cast("bigint").alias("page"),
-                         F.to_json(F.struct(F.col("repo").alias("repository"), *head_cols)).alias("json"))
-
-    def paged(df: DataFrame, number: str, section: str, item) -> DataFrame:
-        rows = df.select("repo", F.floor((F.col(number) - 1) / page).cast("bigint").alias("page"), item.alias("item"))
-        return rows.groupBy("repo", "page").agg(F.sort_array(F.collect_list("item")).alias("items")).select(
-            "repo", F.lit(section).alias("section"), "page", F.to_json("items").alias("json"))
+    head = report.select(
+        "repo", F.lit("header").alias("section"), F.lit(0).cast("bigint").alias("page"), F.lit(0).cast("bigint").alias("part"),
+        F.to_json(F.struct(F.col("repo").alias("repository"), *head_cols)).alias("json"))
+
+    def paged(df: DataFrame, number: str, section: str, item: Column) -> DataFrame:
+        rows = df.select("repo", F.col(number).alias("n"), F.floor((F.col(number) - 1) / page).cast("bigint").alias("page"),
+                         F.to_json(item).alias("item"))
+        # a window holds one page, never a repository
+        sofar = Window.partitionBy("repo", "page").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+        parts = rows.withColumn("part", F.floor(F.coalesce(F.sum(F.octet_length("item")).over(sofar), F.lit(0)) / page_bytes).cast("bigint"))
+        return parts.groupBy("repo", "page", "part").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items")).select(
+            "repo", F.lit(section).alias("section"), "page", "part",
+            F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]")).alias("json"))
 
     issues = findings if "id" in findings.columns else assign_ids(findings)
     cols = [c for c in issues.columns if c not in ("repo", "id", "ord", "seq", "rule_id", "code", "code_text")]

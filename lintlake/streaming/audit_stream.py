@@ -12,7 +12,7 @@ from ..operators.rank import ensure_checkpoint_dir
 from ..plans.audit import findings as batch_findings
 
 FILES_SCHEMA = "repo string, path string, content string"
-# Files per batch of the reference behaviour; raise it for throughput.
+# Small batches give steady progress; raise it for throughput.
 BATCH_FILES = 5
 
 

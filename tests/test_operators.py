@@ -169,8 +169,11 @@ def test_report_documents_are_paged_and_whole(spark, tmp_path):
     stats = audited.select("repo", "path", "language", "family", F.size("lines").alias("lines"), F.length("content").alias("size"))
     docs = sinks.report_documents(SC.repo_report(audited, rules), found, stats, page=4)
     pages = [r for r in docs.collect() if r.repo == "r" and r.section == "issues"]
-    ids = [x["id"] for r in sorted(pages, key=lambda r: r.page) for x in json.loads(r.json)]
+    ids = [x["id"] for r in sorted(pages, key=lambda r: (r.page, r.part)) for x in json.loads(r.json)]
     assert ids == list(range(1, found.where("repo = 'r'").count() + 1)) and max(len(json.loads(r.json)) for r in pages) == 4
+    small = [r for r in sinks.report_documents(SC.repo_report(audited, rules), found, stats, page=4, page_bytes=600).collect()
+             if r.repo == "r" and r.section == "issues"]
+    assert [x["id"] for r in sorted(small, key=lambda r: (r.page, r.part)) for x in json.loads(r.json)] == ids and len(small) > len(pages)
     sinks.write_report_json(docs, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == docs.count()
     sinks.write_findings(found, str(tmp_path / "f"))
