@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.paths import basename, extname
 from ..sources import dims
 from .classify import classify_language
+from .match import sql_text
+
+
+def _list(values: list[str]) -> Column:
+    """A constant array, built in one call."""
+    return F.expr(f"array({', '.join(map(sql_text, values))})")
 
 
 def ignored_dir(path: Column) -> Column:
     """Topmost directory that is ignored by name or hidden, as a path prefix; else null."""
     parts = F.split(path, "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
-    names = F.array(*map(F.lit, dims.IGNORED_DIRS))
+    names = _list(dims.IGNORED_DIRS)
     flags = F.transform(dirs, lambda d: F.array_contains(names, d) | F.startswith(d, F.lit(".")))
     at = F.array_position(flags, F.lit(True)).cast("int")
     return F.when(at > 0, F.array_join(F.slice(parts, 1, at), "/"))
@@ -22,7 +28,7 @@ def ignored_dir(path: Column) -> Column:
 
 def is_binary(path: Column) -> Column:
     name = F.lower(basename(path))
-    cond = F.lower(extname(path)).isin(*dims.BINARY_EXTENSIONS) | name.isin(*dims.LOCK_FILES)
+    cond = F.array_contains(_list(dims.BINARY_EXTENSIONS), F.lower(extname(path))) | F.array_contains(_list(dims.LOCK_FILES), name)
     for s in dims.BUNDLE_SUFFIXES:
         cond = cond | F.endswith(name, F.lit(s))
     return cond
@@ -30,24 +36,15 @@ def is_binary(path: Column) -> Column:
 
 def basic_ignored(path: Column) -> Column:
     """A pattern anywhere in the path: ``cabinet.js`` is out because of ``bin``."""
-    cond = F.lit(False)
-    for p in dims.BASIC_IGNORED:
-        cond = cond | F.contains(path, F.lit(p))
-    return cond
+    return F.exists(_list(dims.BASIC_IGNORED), lambda p: F.contains(path, p))
 
 
 def basic_binary(path: Column) -> Column:
-    cond = F.lit(False)
-    for e in dims.BASIC_BINARY:
-        cond = cond | F.endswith(F.lower(path), F.lit(e))
-    return cond
+    return F.exists(_list(dims.BASIC_BINARY), lambda e: F.endswith(F.lower(path), e))
 
 
 def basic_supported(path: Column) -> Column:
-    cond = F.lit(False)
-    for e in dims.BASIC_SUPPORTED:
-        cond = cond | F.endswith(path, F.lit(e))
-    return cond
+    return F.exists(_list(dims.BASIC_SUPPORTED), lambda e: F.endswith(path, e))
 
 
 def skip_reason(inventory: DataFrame, profile: str = "extended") -> DataFrame:
