@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder for checkpoints: the one the cluster names, else one beside the warehouse tables.
+
+    Both are on the file system that driver and executors share.  A folder that the
+    application has set on the context is kept.
+    """
     sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lintlake-checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def row_numbers(df: DataFrame, name: str, by: list[str], order: list[str | Column]) -> DataFrame:
