@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once, compressed and by columns, to a new table in the checkpoint folder, and read back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Columns renamed to ``c0, c1, ...`` (so that none can clash) and a number ``row``; number the rows of what is written, or they may change."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.monotonically_increasing_id().alias("row"))
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``numbered`` under their names again."""
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
     if column.null_count:

@@ -18,7 +18,6 @@ or null ids keep their rows; a component of null ids alone has a null component
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -28,8 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rank import ensure_checkpoint_dir
-from .common import blocks, stored, text_bytes, with_fields
+from .common import blocks, numbered, restored, stored, text_bytes, with_fields, written
 from .graph import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -178,16 +176,9 @@ def with_components(rows: DataFrame, key: str, distance: int = DISTANCE) -> Data
 def deduplicate(docs: DataFrame, column: str = "text", key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """One row of each component, all columns kept: the one with the least key (of equal or null keys: any one)."""
     columns = docs.columns
-    spark = docs.sparkSession
-    numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), F.monotonically_increasing_id().alias("row"))
     text, ident = f"c{columns.index(column)}", f"c{columns.index(key)}"
-    # Written once, so that row numbers hold whatever is run again later.
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/simhash-{uuid.uuid4().hex}"
-    with_fingerprints(numbered, text, keep_text=True).write.parquet(path)
-    written = spark.read.parquet(path)
-    rows = with_components(stored(written.select("row", ident, "fp")), ident, distance)
+    table = written(with_fingerprints(numbered(docs), text, keep_text=True))
+    rows = with_components(stored(table.select("row", ident, "fp")), ident, distance)
     # A component may hold a third of all rows: the least row of each is found by partial minima.
-    keep = rows.groupBy("root").agg(
-        F.min(F.struct(F.col(ident).isNull().alias("n"), F.col(ident).alias("k"), F.col("row").alias("row"))).alias("x"))
-    return written.join(keep.select(F.col("x.row").alias("row")), "row", "left_semi").select(
-        *(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col(ident).isNull().alias("n"), F.col(ident).alias("k"), "row")).alias("x"))
+    return restored(table.join(keep.select(F.col("x.row").alias("row")), "row", "left_semi"), columns)
