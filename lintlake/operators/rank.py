@@ -24,8 +24,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def row_numbers(df: DataFrame, name: str, by: list[str], order: list[str | Column]) -> DataFrame:
     """``row_number() over (partition by <by> order by <order>)`` without one task per group.
 
-    The rows are range-partitioned by (by, order) and written to a checkpoint, which
-    fixes the partition of every row.  Numbers are then counted inside (partition,
+    The rows are written to a checkpoint first, so that finding the range bounds does not
+    compute them a second time; then they are range-partitioned by (by, order) and written
+    again, which fixes the partition of every row.  Numbers are then counted inside (partition,
     group), plus the rows of the same group in earlier partitions.  Only the first group
     of a partition can have earlier rows, so the broadcast offsets are at most one row
     per partition.
@@ -33,7 +34,7 @@ def row_numbers(df: DataFrame, name: str, by: list[str], order: list[str | Colum
     ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(c) for c in by]
     sort = [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = df.repartitionByRange(*keys, *sort).withColumn("_part", F.spark_partition_id()).checkpoint()
+    placed = df.checkpoint().repartitionByRange(*keys, *sort).withColumn("_part", F.spark_partition_id()).checkpoint()
     counts = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"))
     # One row per (partition, group); a group's rows lie in consecutive partitions.
     w = Window.partitionBy(*by).orderBy("_part") if by else Window.partitionBy(F.lit(0)).orderBy("_part")
