@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets, sharding, simhash
+from . import bpe, decontaminate, secrets, sharding, simhash, toxicity
 from .common import read
 
 
@@ -29,6 +29,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words hit by benchmark windows, and the items they come from, of every document."""
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
 }
