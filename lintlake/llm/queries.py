@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, quality, secrets, sharding, simhash, toxicity
+from . import bpe, decontaminate, html_text, quality, secrets, sharding, simhash, spotsigs, toxicity
 from .common import read
 
 
@@ -34,6 +34,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return spotsigs.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op5_html": op5_html,
+    "op6_spotsigs": op6_spotsigs,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,

@@ -30,6 +30,8 @@ SAMPLE = 2_000
 """Labelled rows of each class that the classifier is fitted to, at most."""
 SIZES = (3, 4, 5)
 BITS = 19
+PIECE = 1 << 20
+"""Characters whose n-grams are looked up at once."""
 PARTS, PART = 4, 2
 THRESHOLD = 0.3
 SMOOTH = 1.0
@@ -67,12 +69,13 @@ def sums(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     """For each text the sum of the weights of its distinct features."""
     points, offsets = code_points(texts)
     docs, buckets = [], []
-    for n, g in grams(points):
-        at = np.flatnonzero(weights[g])
-        doc = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + n <= offsets[doc + 1]
-        docs.append(doc[inside])
-        buckets.append(g[at[inside]])
+    for first in range(0, len(points), PIECE):  # pieces overlap by what an n-gram may reach over
+        for n, g in grams(points[first : first + PIECE + max(SIZES) - 1]):
+            at = np.flatnonzero(weights[g[:PIECE]])
+            doc = np.searchsorted(offsets, at + first, side="right") - 1
+            inside = at + first + n <= offsets[doc + 1]
+            docs.append(doc[inside])
+            buckets.append(g[at[inside]])
     out = np.zeros(len(texts))
     if docs:
         pairs = np.unique(np.concatenate(docs).astype(np.int64) << BITS | np.concatenate(buckets))
