@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, quality, secrets, sharding, simhash, spotsigs, toxicity
+from . import bpe, decontaminate, html_text, quality, secrets, sharding, simhash, spotsigs, toxicity, url_filters
 from .common import read
 
 
@@ -18,6 +18,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True, ids=False)
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return url_filters.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     rows = sharding.interleave(read(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_url_filters": op2_url_filters,
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op5_html": op5_html,
@@ -97,6 +103,43 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+def _url_filters_sql(turns: int = url_filters.TURNS) -> str:
+    """The rules, the links and both rankings in SQL, a table per turn."""
+    head = r"""
+WITH cut AS (
+  SELECT page_id, html, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+rows_ AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(text, rhost, rpath, rverdict) AS (VALUES
+  ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+fits AS (
+  SELECT page_id, host, path, text, rverdict, row_number() OVER (PARTITION BY page_id ORDER BY length(text) DESC) AS k
+  FROM rows_ JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+judged AS (
+  SELECT r.page_id, r.host, r.path, f.text AS rule, f.rverdict AS verdict FROM rows_ r LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON r.page_id = f.page_id),
+hosts AS (
+  SELECT host, sum(CASE WHEN verdict = 'allow' THEN 1 ELSE 0 END) / count(*) AS allowed, sum(CASE WHEN verdict = 'block' THEN 1 ELSE 0 END) / count(*) AS blocked
+  FROM judged GROUP BY host),
+targets AS (
+  SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:https?:)?//([^"''\s>]+)', 1)) AS t FROM rows_),
+pairs AS (SELECT src, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM targets),
+links AS (SELECT src, dst, count(*) AS n FROM pairs WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+fwd AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM links),
+bwd AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share FROM links),
+t0 AS (SELECT host, allowed * 0.15 AS r FROM hosts), d0 AS (SELECT host, blocked * 0.15 AS r FROM hosts)"""
+    for i in range(1, turns + 1):
+        for name, edges in (("t", "fwd"), ("d", "bwd")):
+            head += f""",
+{name}{i} AS (SELECT host, sum(r) AS r FROM (
+  SELECT host, r FROM {name}0 UNION ALL SELECT dst, r * share * 0.85 FROM {name}{i - 1} JOIN {edges} ON host = src) GROUP BY host)"""
+    return head + f"""
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN d.r - t.r >= 0.5 * 0.15 THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j JOIN t{turns} t ON j.host = t.host JOIN d{turns} d ON j.host = d.host
+"""
+
+
 SQL: dict[str, str] = {
+    "op2_url_filters": _url_filters_sql(),
     "op8_decontamination": OP8_SQL,
 }
