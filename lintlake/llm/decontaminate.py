@@ -98,7 +98,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, column: str =
         "row", *carried, F.when(head, F.size("words")).alias("size"), F.when(~head, F.struct("at", "width")).alias("span"), F.when(~head, F.col("item_id")).alias("item"),
     ).groupBy("row", *carried).agg(F.max("size").cast("bigint").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("item").alias("found"))
     return per.select(
-        "row", *(F.col(n).alias(c) for c, n in zip(carry, carried)), "n_words", F.array_sort("spans").alias("spans"),
+        *(F.col(n).alias(c) for c, n in zip(carry, carried)), "n_words", F.array_sort("spans").alias("spans"),
         _covered(F.col("spans")).alias("n_hit"), F.array_sort(F.transform("found", lambda x: x.cast("string"))).alias("items"))
 
 
