@@ -76,26 +76,32 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, column: str =
     rows = texts.select("row", *carried, words_of(F.col("text")).alias("words")).select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
     # The windows of each width (items shorter than a window have their own), and a row at -1 that stands for the document.
-    spread = None
-    for i, width in enumerate(sorted(size["widths"], reverse=True) or [window]):
-        last = F.size("words") - width
-        at = F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), last))) if i == 0 else F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))
-        one = rows.select("row", *carried, "words", "hashes", at.alias("at")).select(
-            "row", *carried, "words", "at", F.lit(width).alias("width"), F.when(F.col("at") >= 0, _key(F.col("hashes"), F.col("at"), width)).alias("key64"))
-        spread = one if spread is None else spread.unionByName(one)
-
+    # The words go along only as far as the probe's filter: both are one pass over a document's windows.
+    widths = sorted(size["widths"], reverse=True) or [window]
     head = F.col("at") < 0
     same = F.slice("words", F.col("at") + 1, F.col("width")) == F.col("gram")
     probe = bench.select(F.col("key64").alias("k"), "gram", "item_id")
-    if small:
-        hits = spread.join(F.broadcast(probe), F.col("key64") == F.col("k"), "left").where(head | same)
-    else:
-        # Only hashes and places are shuffled; the words come back by a join on the row.
-        found = spread.where(~head).select("row", "at", "width", "key64").join(probe, F.col("key64") == F.col("k")).select("row", "at", "width", "gram", "item_id")
-        there = rows.select("row", *carried, "words").join(found, "row").where(same)
-        hits = spread.where(head).drop("key64").unionByName(there, allowMissingColumns=True)
+    kept = ["row", *carried, "at", "width", "size", "item_id"]
+    parts = []
+    for i, width in enumerate(widths):
+        last = F.size("words") - width
+        lead = i == 0 and small
+        at = F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), last))) if lead else F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))
+        spread = rows.select("row", *carried, "words", "hashes", at.alias("at")).select(
+            "row", *carried, "words", "at", F.lit(width).alias("width"), F.when(F.col("at") >= 0, _key(F.col("hashes"), F.col("at"), width)).alias("key64"))
+        if small:
+            hits = spread.join(F.broadcast(probe), F.col("key64") == F.col("k"), "left" if lead else "inner").where(head | same)
+            parts.append(hits.withColumn("size", F.when(head, F.size("words"))).select(*kept))
+        else:  # only hashes and places are shuffled; the words come back by a join on the row
+            found = spread.select("row", "at", "width", "key64").join(probe, F.col("key64") == F.col("k")).select("row", "at", "width", "gram", "item_id")
+            parts.append(rows.select("row", *carried, "words").join(found, "row").where(same).withColumn("size", F.lit(None).cast("int")).select(*kept))
+    if not small:
+        parts.append(rows.select("row", *carried, F.lit(-1).alias("at"), F.lit(0).alias("width"), F.size("words").alias("size"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
     per = hits.select(
-        "row", *carried, F.when(head, F.size("words")).alias("size"), F.when(~head, F.struct("at", "width")).alias("span"), F.when(~head, F.col("item_id")).alias("item"),
+        "row", *carried, "size", F.when(~head, F.struct("at", "width")).alias("span"), F.when(~head, F.col("item_id")).alias("item"),
     ).groupBy("row", *carried).agg(F.max("size").cast("bigint").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("item").alias("found"))
     return per.select(
         *(F.col(n).alias(c) for c, n in zip(carry, carried)), "n_words", F.array_sort("spans").alias("spans"),
