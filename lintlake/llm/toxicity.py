@@ -9,7 +9,7 @@ is read: no shuffle.
 Fitting uses at most ``SAMPLE`` labelled rows of each class, chosen by a hash of the id;
 more labels do not make the driver's share grow.  Scores depend on the text alone.
 
-Defined cases: null and empty texts have no features and get the score of the intercept;
+Defined cases: null and empty texts have no features and get the share of class 1 as score;
 without labels of both classes every score is the share of class 1; repeated rows get equal
 scores; very long texts are scored whole, in blocks of their own.
 """
@@ -35,9 +35,9 @@ PIECE = 1 << 20
 PARTS, PART = 4, 2
 THRESHOLD = 0.3
 SMOOTH = 1.0
-LEAST_COUNT, LEAST_RATIO = 4, 0.7
+LEAST_COUNT, LEAST_RATIO = 6, 1.0
 """Features of fewer training documents, or that say less, have no weight."""
-ROUNDS, RATE, DECAY = 60, 0.3, 0.02
+ROUNDS, RATE, DECAY = 150, 0.3, 1.0
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,17 +97,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float) -> tuple[np.nd
     keep = ratio[flat] != 0
     flat, of = flat[keep], of[keep]
     used, where = np.unique(flat, return_inverse=True)
-    x, w, b, speed = ratio[used], np.zeros(len(used)), 0.0, np.full(len(used), 1e-6)
+    # The intercept is the log odds of the classes, so a text that says nothing gets the share of class 1.
+    b = np.log((n1 + 1) / (n0 + 1))
+    x, w, speed = ratio[used], np.zeros(len(used)), np.full(len(used), 1e-6)
     for _ in range(ROUNDS):  # full-batch steps scaled by past gradients
         score = b + np.bincount(of, weights=(w * x)[where], minlength=len(rows))
         error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels
         gradient = np.bincount(where, weights=error[of], minlength=len(used)) * x / len(rows) + DECAY * w / len(rows)
         speed += gradient**2
         w -= RATE * gradient / np.sqrt(speed)
-        b -= RATE * error.mean() * 4
     weights = np.zeros(size, np.float32)
     weights[used] = w * x
-    return weights, b + np.log(share / (1 - share)) - np.log((n1 + 1) / (n0 + 1))
+    return weights, float(np.log(share / (1 - share)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
