@@ -247,6 +247,38 @@ def d_magic(r: Rule, basic: bool = False) -> str:
     return hit_sql(r, src, "line", "rn", a="num", cond="true" if basic else "rn <= 10")
 
 
+# The counting loop with the repeated name as three captures that must be equal.
+_COUNTING = (r"for\s*\(\s*(?:let|var)\s+(\w+)\s*=\s*(\d+)\s*;\s*(\w+)\s*<\s*(\d+)\s*;\s*(\w+)\+\+\s*\)\s*"
+             r"\{[^{}]*(\w+)\s*(?:\+\+|\+=\s*1)[^{}]*\}")
+_CALL = r"\w+\([^)]*\)"
+
+
+def d_counting(r: Rule) -> str:
+    g = [group_of(_COUNTING, "", n) for n in range(7)]
+    runs = f"TRY_CAST({g[4]} AS DECIMAL(38,0)) - TRY_CAST({g[2]} AS DECIMAL(38,0))"
+    return hit_sql(r, match_rows(_COUNTING), "line", "k", a=f"CAST({runs} AS VARCHAR)", b=g[6], cond=f"{g[1]} = {g[3]} AND {g[1]} = {g[5]}")
+
+
+def d_repeated(r: Rule) -> str:
+    """Calls that follow each other are numbered; equal neighbours are islands.  An island of three is a match, and one of
+    two if the call before it ends with the same text (a match may begin inside a word)."""
+    run = rf"{_CALL};\s*(?:{_CALL};\s*){{2,}}"
+    one = rf"({_CALL});\s*"
+    text = f"regexp_extract(suf, {lit('^(?:' + to_re2(run) + ')')})"
+    src = f"""(SELECT repo, path, CAST(1 + length(before) - length(replace(before, {NL}, '')) AS INTEGER) AS line FROM (
+    SELECT repo, path, pre || left(run, CASE WHEN n >= 3 AND NOT (ends_with(last_c, c) AND last_n < 3) THEN off ELSE last_end - length(c) END) AS before FROM (
+      SELECT *, lag(c) OVER w AS last_c, coalesce(lag(n) OVER w, 3) AS last_n, lag(stop) OVER w AS last_end FROM (
+        SELECT repo, path, k, any_value(pre) AS pre, any_value(run) AS run, island, min(off) AS off, max(off) + length(any_value(c)) AS stop, any_value(c) AS c, count(*) AS n FROM (
+          SELECT *, sum(fresh) OVER (PARTITION BY repo, path, k ORDER BY i) AS island FROM (
+            SELECT *, CASE WHEN c = lag(c) OVER (PARTITION BY repo, path, k ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM (
+              SELECT repo, path, k, pre, run, i, cs[i] AS c, length(array_to_string(ps[1:i - 1], '')) AS off FROM (
+                SELECT repo, path, k, pre, run, regexp_extract_all(run, {re2(one)}, 1) AS cs, regexp_extract_all(run, {re2(one)}) AS ps FROM (
+                  SELECT repo, path, k, pre, {text} AS run FROM {match_rows(run)}))
+              x, unnest(range(1, len(x.cs) + 1)) AS t(i)))) GROUP BY repo, path, k, island) WINDOW w AS (PARTITION BY repo, path, k ORDER BY island))
+    WHERE n >= 3 OR (n = 2 AND ends_with(last_c, c) AND last_n < 3)))"""
+    return hit_sql(r, src, "line", "line")
+
+
 def d_nesting(r: Rule) -> str:
     src = f"""(SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS rn FROM (
     SELECT *, sum(length(replace(text, '}}', '')) - length(replace(text, '{{', '')))
@@ -374,7 +406,7 @@ _DETECTORS = {
     "long_lines": d_long_lines, "long_lines_basic": lambda r: d_long_lines(r, ("//",)), "commented": d_commented,
     "missing_set_e": d_set_e, "base_image": d_base_image, "todo": d_todo, "captured_text": d_captured,
     "short_names": d_short_names, "undocumented_exports": d_exports, "magic": d_magic,
-    "magic_basic": lambda r: d_magic(r, True), "nesting": d_nesting, "duplicate_block": d_duplicate,
+    "magic_basic": lambda r: d_magic(r, True), "nesting": d_nesting, "simplifiable_loop": d_counting, "duplicate_block": d_duplicate,
 }
 
 
@@ -384,7 +416,9 @@ def found_ctes(profile: str, groups: tuple[str, ...] | None = None, exclude: tup
     ctes = selected(profile)
     parts = []
     for r in rules:
-        if r.detector is None:
+        if r.id == "B-31":
+            parts.append(d_repeated(r))
+        elif r.detector is None:
             parts.append(pattern_sql(r))
         elif r.detector in ("long_brace", "long_basic", "long_python", "long_ruby"):
             cs = fold(r)

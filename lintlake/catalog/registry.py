@@ -19,6 +19,7 @@ from ..sources.sinks import report_documents
 from ..streaming import audit_stream as ST
 from . import oracle as O
 from .corpus import corpus, inventory
+from .snippets import SNIPPETS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,7 +51,7 @@ for _name, (_profile, _groups) in GROUPS.items():
     _add(
         _name,
         lambda s, d, p=_profile, g=_groups, e=_extra: flat(findings(corpus(s, d), p, g), *e),
-        None if _name == "redundant_loops" else O.group_query(_profile, _groups, "".join(f", {c}" for c in _extra)),
+        O.group_query(_profile, _groups, "".join(f", {c}" for c in _extra)),
     )
 
 # --- languages and selection ----------------------------------------------------------
@@ -160,16 +161,14 @@ _add("tree_listing", lambda s, d: SEL.skip_reason(tree_blobs(_trees(s, d)), "rem
 # --- findings -------------------------------------------------------------------------
 
 
-def _found(s: SparkSession, d: str, profile: str = "extended", context: bool = False, exclude: tuple[str, ...] = ()) -> DataFrame:
-    rules = [r for r in profile_rules(profile) if r.group not in exclude]
+def _found(s: SparkSession, d: str, profile: str = "extended", context: bool = False, wanted: Callable | None = None) -> DataFrame:
+    rules = profile_rules(profile) if wanted is None else FD.rules_for(profile_rules(profile), wanted)
     return findings(corpus(s, d), profile, rules=rules, context=context)
 
 
-# Back-references have no counterpart in the checking engine.
-_NO_SQL = ("redundant_loops",)
 _COLS = O.FINDING_COLS
 _add("findings_dedup", lambda s, d: flat(_found(s, d)), O.on_found(f"SELECT {_COLS} FROM found"))
-_add("findings_basic", lambda s, d: flat(_found(s, d, "basic", exclude=_NO_SQL)), O.on_found(f"SELECT {_COLS} FROM found", "basic", exclude=_NO_SQL))
+_add("findings_basic", lambda s, d: flat(_found(s, d, "basic")), O.on_found(f"SELECT {_COLS} FROM found", "basic"))
 _ID = "row_number() OVER (PARTITION BY repo ORDER BY file, ord, seq)"
 _add("finding_ids", lambda s, d: FD.assign_ids(_found(s, d)).select("repo", "id", "rule_id", "file", "line", "title"),
      O.on_found(f"SELECT repo, {_ID} AS id, rule_id, file, line, title FROM found"))
@@ -190,23 +189,29 @@ _add("code_context", lambda s, d: _found(s, d, context=True).where("code IS NOT
 # --- scores and rollups ---------------------------------------------------------------
 
 
-def _audited(s: SparkSession, d: str, profile: str = "extended", exclude: tuple[str, ...] = ()):
-    rules = [r for r in profile_rules(profile) if r.group not in exclude]
+def _audited(s: SparkSession, d: str, profile: str = "extended"):
+    rules = profile_rules(profile)
     return audit_files(corpus(s, d), profile, rules=rules), rules
 
 
-def repo_report(s: SparkSession, d: str, profile: str = "extended", exclude: tuple[str, ...] = ()) -> DataFrame:
-    audited, rules = _audited(s, d, profile, exclude)
+def repo_report(s: SparkSession, d: str, profile: str = "extended") -> DataFrame:
+    audited, rules = _audited(s, d, profile)
     return SC.repo_report(audited, rules, profile)
 
 
+def _counts(s: SparkSession, d: str) -> DataFrame:
+    return SC.file_counts(*_audited(s, d))
+
+
 _REPORT = O.report_ctes("extended")
 _add("severity_counts", lambda s, d: SC.severity_counts(_found(s, d)),
      O.on_found("""SELECT repo, count(*) FILTER (severity = 'critical') AS critical_issues, count(*) FILTER (severity = 'warning') AS warnings,
   count(*) FILTER (severity = 'info') AS suggestions FROM found GROUP BY repo"""))
 _add("repo_report", repo_report, O.on_found("SELECT * FROM report", more=_REPORT))
-_add("repo_report_basic", lambda s, d: repo_report(s, d, "basic", _NO_SQL),
-     O.on_found("SELECT * FROM report", "basic", exclude=_NO_SQL, more=O.report_ctes("basic")))
+_add("repo_report_basic", lambda s, d: repo_report(s, d, "basic"),
+     O.on_found("SELECT * FROM report", "basic", more=O.report_ctes("basic")))
+_add("mean_scores", lambda s, d: SC.mean_scores(repo_report(s, d)),
+     O.on_found("SELECT count(*) AS repos, " + ", ".join(f"round(avg({n}), 4) AS mean_{n}" for n in ("security", "performance", "quality", "cleanliness", "overall")) + " FROM report", more=_REPORT))
 _add("report_of_findings", lambda s, d: SC.report_of_findings(FD.stored(_found(s, d)), file_stats(_chosen(s, d))),
      O.on_found("SELECT * FROM report", more=_REPORT))
 _add("scores", lambda s, d: SC.score_findings(_found(s, d)),
@@ -219,38 +224,43 @@ _add("penalties", lambda s, d: SC.penalties(_found(s, d)).select("repo", "type",
      O.on_found("SELECT repo, type, CAST(sum(CASE severity WHEN 'critical' THEN 15 WHEN 'warning' THEN 5 ELSE 1 END) AS BIGINT) AS points FROM found GROUP BY ALL"))
 _BADGE = """SELECT repo, file, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning,
   count(*) FILTER (severity = 'info') AS info FROM found GROUP BY repo, file"""
-_add("file_badges", lambda s, d: SC.file_badges(_found(s, d)),
+_add("file_badges", lambda s, d: SC.file_badges(_counts(s, d)),
      O.on_found(f"""SELECT *, critical + warning + info AS total, CASE WHEN critical > 0 THEN 'critical' WHEN warning > 0 THEN 'warning' ELSE 'info' END AS worst FROM ({_BADGE})"""))
-_add("dir_rollup", lambda s, d: SC.dir_rollup(_chosen(s, d).select("repo", "path"), SC.file_badges(_found(s, d))),
-     O.on_found(f"""SELECT repo, node, CAST(depth AS INTEGER) AS depth, depth = n AS is_file, count(*) AS files, CAST(sum(critical) AS BIGINT) AS critical,
+_TREE = f"""SELECT *, CASE WHEN critical > 0 THEN 'critical' WHEN warning > 0 THEN 'warning' WHEN info > 0 THEN 'info' END AS worst FROM (SELECT repo, node, CAST(depth AS INTEGER) AS depth, depth = n AS is_file, count(*) AS files, CAST(sum(critical) AS BIGINT) AS critical,
   CAST(sum(warning) AS BIGINT) AS warning, CAST(sum(info) AS BIGINT) AS info, split_part(node, '/', -1) AS name FROM (
     SELECT s.repo, array_to_string(string_split(s.path, '/')[1:i], '/') AS node, i AS depth, len(string_split(s.path, '/')) AS n,
       coalesce(b.critical, 0) AS critical, coalesce(b.warning, 0) AS warning, coalesce(b.info, 0) AS info
-    FROM sel s LEFT JOIN ({_BADGE}) b ON b.repo = s.repo AND b.file = s.path, unnest(range(1, len(string_split(s.path, '/')) + 1)) AS t(i)) GROUP BY repo, node, depth, depth = n"""))
+    FROM sel s LEFT JOIN ({_BADGE}) b ON b.repo = s.repo AND b.file = s.path, unnest(range(1, len(string_split(s.path, '/')) + 1)) AS t(i)) GROUP BY repo, node, depth, depth = n)"""
+_add("dir_rollup", lambda s, d: SC.dir_rollup(_counts(s, d)), O.on_found(_TREE))
+_add("tree_positions", lambda s, d: SC.tree_positions(SC.dir_rollup(_counts(s, d))).select("repo", "node", "is_file", "position"),
+     O.on_found(f"SELECT repo, node, is_file, row_number() OVER (PARTITION BY repo ORDER BY replace(node, '/', chr(1)), is_file) AS position FROM ({_TREE})"))
 _add("type_severity_rollup", lambda s, d: SC.type_severity_rollup(_found(s, d)),
      O.on_found("SELECT type, severity, count(*) AS issues FROM found GROUP BY ROLLUP (type, severity)"))
 _add("rule_matrix", lambda s, d: SC.rule_matrix(_found(s, d)),
      O.on_found("SELECT type, severity, title, count(*) AS issues, count(DISTINCT repo) AS repos FROM found GROUP BY ALL"))
-_add("corpus_rollup", lambda s, d: SC.corpus_rollup(_found(s, d), file_stats(_chosen(s, d)).agg(F.sum("lines").alias("analyzed_lines"))),
+_add("corpus_rollup", lambda s, d: SC.corpus_rollup(*_audited(s, d)),
      O.on_found("""SELECT rule_id, title, count(*) AS issues, round(count(*) * 1000 / (SELECT sum(len(ls)) FROM sel), 4) AS per_1k_lines FROM found GROUP BY rule_id, title"""))
 
 # --- filters, orderings, short lists --------------------------------------------------
 
 _SHORT = "repo, rule_id, severity, title, file, line"
 _PICK = _SHORT.split(", ")
-_add("min_severity", lambda s, d: FD.min_severity(_found(s, d), "warning").select(*_PICK),
+_add("min_severity", lambda s, d: FD.min_severity(_found(s, d, wanted=lambda r: r.severity != "info"), "warning").select(*_PICK),
      O.on_found(f"SELECT {_SHORT} FROM found WHERE severity <> 'info'"))
-_add("type_filter", lambda s, d: FD.of_type(_found(s, d), "performance").select(*_PICK),
+_add("type_filter", lambda s, d: FD.of_type(_found(s, d, wanted=lambda r: r.type == "performance"), "performance").select(*_PICK),
      O.on_found(f"SELECT {_SHORT} FROM found WHERE type = 'performance'"))
-_add("severity_filter", lambda s, d: FD.of_severity(_found(s, d), "critical").select(*_PICK),
+_add("severity_filter", lambda s, d: FD.of_severity(_found(s, d, wanted=lambda r: r.severity == "critical"), "critical").select(*_PICK),
      O.on_found(f"SELECT {_SHORT} FROM found WHERE severity = 'critical'"))
 _add("path_prefix", lambda s, d: FD.under_path(_found(s, d), "src/d1/f1").select(*_PICK),
      O.on_found(f"SELECT {_SHORT} FROM found WHERE starts_with(file, 'src/d1/f1')"))
-_add("ci_gate", lambda s, d: FD.ci_gate(_found(s, d), corpus(s, d).select("repo")),
-     O.on_found("""SELECT a.repo, coalesce(c.n, 0) AS critical_issues, coalesce(c.n, 0) > 0 AS gate FROM (SELECT DISTINCT repo FROM files) a
+_add("ci_gate", lambda s, d: FD.ci_gate(_counts(s, d)),
+     O.on_found("""SELECT a.repo, coalesce(c.n, 0) AS critical_issues, coalesce(c.n, 0) > 0 AS gate FROM (SELECT DISTINCT repo FROM sel) a
   LEFT JOIN (SELECT repo, count(*) AS n FROM found WHERE severity = 'critical' GROUP BY repo) c USING (repo)"""))
-_add("fixable_top20", lambda s, d: FD.fixable(_found(s, d, "basic", exclude=_NO_SQL)).select(*_PICK, "position"),
-     O.on_found(f"""SELECT * FROM (SELECT {_SHORT}, CAST({_ID} AS INTEGER) AS position FROM found WHERE suggestion_code IS NOT NULL) WHERE position <= 20""", "basic", exclude=_NO_SQL))
+_add("fixable_top20", lambda s, d: FD.fixable(_found(s, d, "basic")).select(*_PICK, "position"),
+     O.on_found(f"""SELECT * FROM (SELECT {_SHORT}, CAST({_ID} AS INTEGER) AS position FROM found WHERE suggestion_code IS NOT NULL) WHERE position <= 20""", "basic"))
+_ONE = "src/d1/f1" + (SNIPPETS[1][0] if SNIPPETS[1][0].startswith(".") else "/" + SNIPPETS[1][0])
+_add("file_findings", lambda s, d: FD.of_severity(_found(s, d), "all", file=_ONE).select(*_PICK),
+     O.on_found(f"SELECT {_SHORT} FROM found WHERE file = {O.lit(_ONE)}"))
 _add("info_top20", lambda s, d: FD.info_top(_found(s, d)).select(*_PICK, "position"),
      O.on_found(f"SELECT * FROM (SELECT {_SHORT}, CAST({_ID} AS INTEGER) AS position FROM found WHERE severity = 'info') WHERE position <= 20"))
 _SEV = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
@@ -305,16 +315,15 @@ def _arriving(s: SparkSession, d: str) -> DataFrame:
 _CHAT = O.selected("extended")
 _CHAT = [f"files AS (SELECT 'chat-' || role AS repo, 'c' || conv_id || '/t' || turn || '.md' AS path, text || chr(10) || '# TODO: if asked for turn ' || turn || chr(10) AS content FROM conversations)"
          if c.startswith("files AS") else c for c in _CHAT]
-_STREAM_GROUPS = ("todo_comments", "commented_code", "long_lines", "duplicate_blocks", "secrets")
 
 
 def _chat_sql(query: str) -> str:
-    ctes = O.found_ctes("extended", _STREAM_GROUPS)
+    ctes = O.found_ctes("extended")
     ctes = [_CHAT[1] if c.startswith("files AS") else c for c in ctes]
     return O.with_(ctes, query, recursive=True)
 
 
-_add("stream_findings", lambda s, d: ST.drain(ST.dedupe_stream(ST.stream_findings(_arriving(s, d), groups=_STREAM_GROUPS)).select(*FINDING)),
+_add("stream_findings", lambda s, d: ST.drain(ST.dedupe_stream(ST.stream_findings(_arriving(s, d))).select(*FINDING)),
      _chat_sql("SELECT repo, rule_id, type, severity, title, description, file, line FROM found"))
-_add("stream_counts", lambda s, d: ST.drain(ST.running_counts(ST.stream_findings(ST.observed(_arriving(s, d)), groups=_STREAM_GROUPS)), "complete"),
+_add("stream_counts", lambda s, d: ST.drain(ST.running_counts(ST.stream_findings(ST.observed(_arriving(s, d)))), "complete"),
      _chat_sql("SELECT repo, type, severity, count(*) AS count FROM found GROUP BY ALL"))

@@ -102,9 +102,9 @@ def utf16_len(c: Column) -> Column:
 def utf16_prefix(c: Column, units: int) -> Column:
     """First ``units`` UTF-16 units; a character cut in half is dropped."""
     head = F.substring(c, 1, units)
-    padded = F.regexp_replace(head, r"([\x{10000}-\x{10FFFF}])", MARK + "$1")
-    return F.when(F.octet_length(head) == F.length(head), head).otherwise(
-        F.translate(F.substring(padded, 1, units), MARK, ""))
+    padded = F.regexp_replace(without_mark(head), r"([\x{10000}-\x{10FFFF}])", MARK + "$1")
+    cut = F.translate(F.substring(padded, 1, units), MARK, "")
+    return F.when(F.octet_length(head) == F.length(head), head).otherwise(with_mark(cut, head))
 
 
 def without_mark(c: Column) -> Column:
@@ -112,6 +112,16 @@ def without_mark(c: Column) -> Column:
     return F.when(F.contains(c, F.lit(MARK)), F.translate(c, MARK, MARK_SUBSTITUTE)).otherwise(c)
 
 
+def swapped(original: Column) -> Column:
+    """Did ``without_mark`` swap characters of this text, none of which was the substitute before?"""
+    return F.contains(original, F.lit(MARK)) & ~F.contains(original, F.lit(MARK_SUBSTITUTE))
+
+
+def with_mark(c: Column, original: Column) -> Column:
+    """Text taken from ``without_mark(original)`` with the swapped characters put back (not where the original has both)."""
+    return F.when(swapped(original), F.translate(c, MARK_SUBSTITUTE, MARK)).otherwise(c)
+
+
 def occurrences(c: Column, char: str) -> Column:
     """How often one character occurs."""
     return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))

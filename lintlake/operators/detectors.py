@@ -20,8 +20,6 @@ LINE_LIMIT = 120
 SNIPPET_UNITS = 80
 FUNCTION_LIMIT = 50
 NESTING_LIMIT = 5
-MAGIC_CAP = 10
-COMMENTED_CAP = 5
 DUPLICATE_MIN_LINES = 10
 DUPLICATE_WINDOW = 4
 DUPLICATE_MIN_CHARS = 20
@@ -77,6 +75,11 @@ def _gated(rule: Rule, cond: Column, value: Column) -> Column:
     return F.when(cond, value)
 
 
+def _first(found: Column, cap: int | None) -> Column:
+    """The first ``cap`` entries; all of them without a cap."""
+    return found if cap is None else F.slice(found, 1, cap)
+
+
 def _starts(c: Column, *prefixes: str) -> Column:
     cond = F.lit(False)
     for p in prefixes:
@@ -121,7 +124,7 @@ def commented(rules: list[Rule]) -> Column:
         return _has_any(line, "//", "#", "--") & comment & (utf16_len(text) > 5) & ~_starts(
             text, *COMMENT_NOTES) & text.rlike(to_java(CODE_WORDS))
 
-    found = F.slice(lines_where(is_code), 1, COMMENTED_CAP)
+    found = _first(lines_where(is_code), rule.cap)
     return _gated(rule, _has("//", "#", "--"), F.transform(found, lambda s: rule_hit(rule, s["line"], s["line"])))
 
 
@@ -151,7 +154,9 @@ def todo(rules: list[Rule]) -> Column:
         return hit(of([r.rix for r in rules], tag), of([r.tkey for r in rules], tag), F.lit(rules[0].ord),
                    m["line"], m["seq"], a=F.when(rest == "", F.lit("(no description)")).otherwise(rest))
 
-    return F.when(_has(*[t.lower() for t in tags], text="folded"), F.transform(matches(TODO, "i", (1, 2)), to_hit))
+    # with some of the tags' rules only, matches of other tags are no findings
+    own = F.filter(matches(TODO, "i", (1, 2)), lambda m: F.upper(m["g1"]).isin(*tags))
+    return F.when(_has(*[t.lower() for t in tags], text="folded"), F.transform(own, to_hit))
 
 
 def captured_text(rules: list[Rule]) -> Column:
@@ -213,7 +218,7 @@ def magic(rules: list[Rule]) -> Column:
     found = _magic(rule, MAGIC, COMMON_NUMBERS, lambda t: (
         _starts(js_trim(t), "//", "#", "*") | t.rlike(to_java(DECLARATION))))
     return _gated(rule, F.lit(True), F.transform(
-        F.slice(found, 1, MAGIC_CAP),
+        _first(found, rule.cap),
         lambda h, i: hit(h["rix"], h["tkey"], h["ord"], h["line"], i, h["a"])))
 
 
@@ -411,7 +416,7 @@ def unused_names(rules: list[Rule]) -> Column:
     def unused(names: Column) -> Column:
         wanted = F.transform(names, lambda n: n["t"])
         every = F.regexp_extract_all(body, F.lit(r"(\w+)"), F.lit(1))
-        # few names: keep only their own words, which leaves little to sort
+        # few names: keep only their own words, which leaves little to sort (the result is the same, see the tests)
         few = let(wanted, lambda ws: F.filter(every, lambda w: F.array_contains(ws, w)))
         words = F.transform(F.when(F.size(names) <= FEW_NAMES, few).otherwise(every), lambda w: F.struct(
             w.alias("t"), F.lit(1).alias("k"), F.lit(None).cast(CANDIDATE).alias("c")))

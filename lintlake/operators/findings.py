@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..rules.model import Rule
 from .rank import ensure_checkpoint_dir, row_numbers
 
 # Emission order inside a repository; files go by path.
@@ -49,6 +52,12 @@ def new_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return current.join(baseline.select("repo", "file", "line", "title"), ["repo", "file", "line", "title"], "left_anti")
 
 
+def rules_for(rules: list[Rule], wanted: Callable[[Rule], bool]) -> list[Rule]:
+    """The rules that findings of the wanted ones depend on: these, and those that share a title with one (equal titles are duplicates)."""
+    titles = {r.title for r in rules if wanted(r)}
+    return [r for r in rules if r.title in titles]
+
+
 # --- filters --------------------------------------------------------------------------
 
 def min_severity(df: DataFrame, level: str) -> DataFrame:
@@ -70,12 +79,9 @@ def under_path(df: DataFrame, prefix: str) -> DataFrame:
     return df.where(F.startswith("file", F.lit(prefix)))
 
 
-def ci_gate(df: DataFrame, repos: DataFrame) -> DataFrame:
-    """Per repository: does it have a critical finding?  Counts are the unfiltered ones."""
-    critical = df.groupBy("repo").agg(F.count_if(F.col("severity") == "critical").alias("critical_issues"))
-    return repos.select("repo").distinct().join(critical, "repo", "left").select(
-        "repo", F.coalesce("critical_issues", F.lit(0)).cast("bigint").alias("critical_issues"),
-        (F.coalesce("critical_issues", F.lit(0)) > 0).alias("gate"))
+def ci_gate(counts: DataFrame) -> DataFrame:
+    """Per repository with analyzed files: does it have a critical finding?  From ``scoring.file_counts``, in one pass."""
+    return counts.groupBy("repo").agg(F.sum("critical").cast("bigint").alias("critical_issues")).withColumn("gate", F.col("critical_issues") > 0)
 
 
 # --- orderings and short lists --------------------------------------------------------
@@ -104,32 +110,47 @@ def first_per(df: DataFrame, by: list[str], n: int, name: str = "position") -> D
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
-def info_top(df: DataFrame, n: int = INFO_CAP) -> DataFrame:
-    """Info findings a compact report shows."""
-    return first_per(df.where("severity = 'info'"), ["repo"], n)
+def info_top(df: DataFrame, n: int | None = INFO_CAP) -> DataFrame:
+    """Info findings a compact report shows: the first ``n`` of a repository (None: all)."""
+    info = df.where("severity = 'info'")
+    return row_numbers(info, "position", ["repo"], EMISSION) if n is None else first_per(info, ["repo"], n)
 
 
-def fixable(df: DataFrame, n: int = FIX_CAP) -> DataFrame:
-    """First findings of each repository whose suggestion carries code."""
-    return first_per(df.where("suggestion.code IS NOT NULL"), ["repo"], n)
+def fixable(df: DataFrame, n: int | None = FIX_CAP) -> DataFrame:
+    """Findings whose suggestion carries code: the first ``n`` of a repository (None: all)."""
+    coded = df.where("suggestion.code IS NOT NULL")
+    return row_numbers(coded, "position", ["repo"], EMISSION) if n is None else first_per(coded, ["repo"], n)
 
 
-def compact_lines(df: DataFrame) -> DataFrame:
+def compact_lines(df: DataFrame, report: DataFrame | None = None, cap: int | None = INFO_CAP) -> DataFrame:
     """Lines of the compact report: ``repo, section, position, text``.
 
-    Critical and warning findings are all listed, info findings up to the cap with a
-    count of the rest.
+    Critical and warning findings are all listed, info findings up to ``cap`` (None: all)
+    with a count of the rest.  With a ``report`` every repository, also one without
+    findings, has a heading (section -1): files, lines, scores, and whether it is clean.
     """
     item = F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit(" — "), "title")
     # Numbering writes the findings once; the parts below only read them back.
     numbered = row_numbers(df.select("repo", "severity", *EMISSION, item.alias("text")), "position", ["repo", "severity"], EMISSION)
-    shown = numbered.where((F.col("severity") != "info") | (F.col("position") <= INFO_CAP)).select("repo", "severity", "position", "text")
+    shown = numbered if cap is None else numbered.where((F.col("severity") != "info") | (F.col("position") <= cap))
+    shown = shown.select("repo", "severity", "position", "text")
     counts = numbered.groupBy("repo", "severity").agg(F.max("position").alias("n"))
     label = F.when(F.col("severity") == "critical", "Critical").when(F.col("severity") == "warning", "Warnings").otherwise("Info")
     heads = counts.select("repo", "severity", F.lit(0).cast("bigint").alias("position"),
                           F.concat(label, F.lit(" ("), F.col("n").cast("string"), F.lit("):")).alias("text"))
-    more = counts.where(f"severity = 'info' AND n > {INFO_CAP}").select(
-        "repo", "severity", F.lit(INFO_CAP + 1).cast("bigint").alias("position"),
-        F.concat(F.lit("... and "), (F.col("n") - INFO_CAP).cast("string"), F.lit(" more")).alias("text"))
-    return shown.unionByName(heads).unionByName(more).select(
-        "repo", severity_sort_key().alias("section"), "position", "text")
+    lines = shown.unionByName(heads)
+    if cap is not None:
+        lines = lines.unionByName(counts.where(f"severity = 'info' AND n > {cap}").select(
+            "repo", "severity", F.lit(cap + 1).cast("bigint").alias("position"),
+            F.concat(F.lit("... and "), (F.col("n") - cap).cast("string"), F.lit(" more")).alias("text")))
+    lines = lines.select("repo", severity_sort_key().alias("section"), "position", "text")
+    if report is None:
+        return lines
+    score = lambda name, c: F.concat(F.lit(f"{name} "), F.col(c).cast("string"))
+    heading = F.array_compact(F.array(
+        F.concat(F.lit("Files: "), F.col("analyzed_files").cast("string")), F.concat(F.lit("Lines: "), F.col("analyzed_lines").cast("string")),
+        F.concat(F.lit("Score: "), F.col("overall").cast("string"), F.lit(" ("), F.col("grade"), F.lit(")")),
+        F.concat_ws(", ", score("Security", "security"), score("Performance", "performance"), score("Quality", "quality"), score("Cleanliness", "cleanliness")),
+        F.when(F.col("total_issues") == 0, F.lit("No issues found."))))
+    return lines.unionByName(report.select("repo", F.lit(-1).alias("section"), F.posexplode(heading).alias("position", "text")).select(
+        "repo", "section", F.col("position").cast("bigint").alias("position"), "text"))

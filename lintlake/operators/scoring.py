@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import letter_grade, score_band, summary_text
 from ..rules.model import Rule
+from .rank import row_numbers
 
 # Points per finding, most points per type, weight in the overall score.
 POINTS = {"critical": 15, "warning": 5, "info": 1}
@@ -151,31 +152,51 @@ def language_share(stats: DataFrame, top: int = LANGUAGE_CAP) -> DataFrame:
 
 # --- files, directories, rules --------------------------------------------------------
 
-def file_badges(findings: DataFrame) -> DataFrame:
-    """Severity counts, total and worst severity per file."""
-    counts = findings.groupBy("repo", "file").agg(
-        F.count_if(F.col("severity") == "critical").cast("bigint").alias("critical"),
-        F.count_if(F.col("severity") == "warning").cast("bigint").alias("warning"),
-        F.count_if(~F.col("severity").isin("critical", "warning")).cast("bigint").alias("info"))
-    return counts.withColumn("total", F.col("critical") + F.col("warning") + F.col("info")).withColumn(
-        "worst", F.when(F.col("critical") > 0, "critical").when(F.col("warning") > 0, "warning").otherwise("info"))
-
-
-def dir_rollup(files: DataFrame, badges: DataFrame) -> DataFrame:
-    """The file tree as rows: every directory and file with its files and findings."""
-    per_file = files.select("repo", "path").join(
-        badges.withColumnRenamed("file", "path"), ["repo", "path"], "left").select(
-        "repo", F.split("path", "/").alias("parts"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("critical", "warning", "info")])
-    nodes = per_file.select(
-        "repo", "critical", "warning", "info", "parts", F.size("parts").alias("n"),
-        F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
-    return nodes.groupBy(
+def _of_rules(rules: list[Rule], value, default) -> Column:
+    """A table from rule position to a value, as an array column."""
+    out = [default] * (max(r.rix for r in rules) + 1)
+    for r in rules:
+        out[r.rix] = value(r)
+    return F.array(*map(F.lit, out))
+
+
+def file_counts(audited: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``repo, file, critical, warning, info`` of every analyzed file, from its own hits: nothing is joined or shuffled."""
+    level = _of_rules(rules, lambda r: {"critical": 0, "warning": 1}.get(r.severity, 2), 2)
+    rows = audited.select("repo", F.col("path").alias("file"), F.transform("hits", lambda h: F.get(level, h["rix"])).alias("levels"))
+    return rows.select("repo", "file", *[
+        F.size(F.filter("levels", _equals(i))).cast("bigint").alias(n) for i, n in enumerate(SEVERITIES)])
+
+
+def _worst() -> Column:
+    return F.when(F.col("critical") > 0, "critical").when(F.col("warning") > 0, "warning").when(F.col("info") > 0, "info")
+
+
+def file_badges(counts: DataFrame) -> DataFrame:
+    """Severity counts, total and worst severity of the files with findings."""
+    total = F.col("critical") + F.col("warning") + F.col("info")
+    return counts.withColumn("total", total).where("total > 0").withColumn("worst", _worst())
+
+
+def dir_rollup(counts: DataFrame) -> DataFrame:
+    """The file tree as rows: every directory and file with its files, findings and worst severity.
+
+    ``position`` orders the nodes of one parent: directories first, then by name.
+    """
+    nodes = counts.select("repo", *SEVERITIES, F.split("file", "/").alias("parts")).select(
+        "repo", *SEVERITIES, "parts", F.size("parts").alias("n"), F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
+    rolled = nodes.groupBy(
         "repo", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("node"), "depth",
         (F.col("depth") == F.col("n")).alias("is_file"),
-    ).agg(F.count("*").alias("files"),
-          *[F.sum(c).cast("bigint").alias(c) for c in ("critical", "warning", "info")]).withColumn(
-        "name", F.element_at(F.split("node", "/"), -1))
+    ).agg(F.count("*").alias("files"), *[F.sum(c).cast("bigint").alias(c) for c in SEVERITIES])
+    return rolled.withColumn("name", F.element_at(F.split("node", "/"), -1)).withColumn("worst", _worst())
+
+
+def tree_positions(nodes: DataFrame) -> DataFrame:
+    """Nodes of ``dir_rollup`` with their ``position`` in the repository's tree listed by key order, each directory before what it holds."""
+    # The path with a mark that no name can have sorts a directory right before its own nodes.
+    key = F.replace("node", F.lit("/"), F.lit("\u0000"))
+    return row_numbers(nodes.withColumn("_key", key), "position", ["repo"], ["_key", "is_file"]).drop("_key")
 
 
 def type_severity_rollup(findings: DataFrame) -> DataFrame:
@@ -188,12 +209,29 @@ def rule_matrix(findings: DataFrame) -> DataFrame:
         F.count("*").alias("issues"), F.count_distinct("repo").alias("repos"))
 
 
-def corpus_rollup(findings: DataFrame, report: DataFrame) -> DataFrame:
-    """Findings per thousand lines of every rule over the whole corpus."""
-    lines = report.agg(F.sum("analyzed_lines").alias("lines"))  # one row
-    per_rule = findings.groupBy("rule_id", "title").agg(F.count("*").alias("issues"))
-    return per_rule.join(F.broadcast(lines)).select(
-        "rule_id", "title", "issues", F.round(F.col("issues") * 1000 / F.col("lines"), 4).alias("per_1k_lines"))
+def corpus_rollup(audited: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Findings of every rule over the whole corpus, and per thousand lines, in one pass over the audit.
+
+    Each task sends one row per rule and title; the corpus' lines come along as one more.
+    """
+    texts = _of_rules(rules, lambda r: r.id, None), _of_rules(rules, lambda r: r.title, None)
+    rows = audited.select(F.size("lines").alias("n"), F.transform("hits", lambda h: h["rix"]).alias("rixes"))
+    spread = rows.select(F.explode(F.concat(
+        F.array(F.struct(F.lit(-1).alias("rix"), F.col("n").alias("lines"))),
+        F.transform("rixes", lambda r: F.struct(r.alias("rix"), F.lit(0).alias("lines"))))).alias("x"))
+    counted = spread.groupBy("x.rix").agg(F.count("*").alias("issues"), F.sum("x.lines").alias("lines"))
+    # one row per rule position: a table of fixed size
+    whole = Window.partitionBy(F.lit(0))
+    named = counted.withColumn("all_lines", F.sum("lines").over(whole)).where("rix >= 0").select(
+        F.get(texts[0], F.col("rix")).alias("rule_id"), F.get(texts[1], F.col("rix")).alias("title"), "issues", "all_lines")
+    return named.groupBy("rule_id", "title").agg(F.sum("issues").alias("issues"), F.max("all_lines").alias("all_lines")).select(
+        "rule_id", "title", "issues", F.round(F.col("issues") * 1000 / F.col("all_lines"), 4).alias("per_1k_lines"))
+
+
+def mean_scores(report: DataFrame) -> DataFrame:
+    """Mean scores over all repositories of a report (one row)."""
+    names = [*WEIGHTS, "overall"]
+    return report.agg(F.count("*").alias("repos"), *[F.round(F.avg(n), 4).alias(f"mean_{n}") for n in names])
 
 
 # --- references between files ---------------------------------------------------------

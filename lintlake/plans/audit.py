@@ -7,13 +7,14 @@ of any size is just more rows: skew cannot build up before the final aggregates.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import MARK, MARK_SUBSTITUTE, swapped
 from ..operators.classify import classify_language
 from ..operators.detectors import CANDIDATES, DETECTORS, unused_names
 from ..operators.match import code_context, pattern_hits, prepare
@@ -30,12 +31,23 @@ def rules_dim(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(pa.table(cols)).withColumnRenamed("id", "rule_id")
 
 
-@lru_cache(maxsize=64)
-def hits_column(rules: tuple[Rule, ...], gateway: int = 0) -> Column:
+def hits_column(rules: tuple[Rule, ...]) -> Column:
     """All raw hits of a prepared file row as one array.
 
-    The column depends on the rules alone, so it is built once per rule set (and JVM).
+    The column depends on the rules alone, so it is built once per rule set and Spark
+    context; the columns of a stopped context are dropped with it.
     """
+    context = SparkContext._active_spark_context
+    known = _BUILT.setdefault(context, {})
+    if rules not in known:
+        known[rules] = _build_hits(rules)
+    return known[rules]
+
+
+_BUILT: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _build_hits(rules: tuple[Rule, ...]) -> Column:
     patterns = [r for r in rules if r.detector is None]
     names = [r for r in rules if r.detector in CANDIDATES]
     by_detector: dict[str, list[Rule]] = {}
@@ -69,7 +81,7 @@ def audit_files(
     ready = prepare(classify_language(chosen, profile))
     # Sorting puts equal (line, title) side by side, earliest first.
     found = ready.select(
-        "repo", "path", "language", "family", "content", "lines", F.sort_array(hits_column(tuple(rules), id(SparkContext._gateway))).alias("sorted"))
+        "repo", "path", "language", "family", "content", "lines", F.sort_array(hits_column(tuple(rules))).alias("sorted"))
     return found.select(
         "repo", "path", "language", "family", "content", "lines", first_wins(F.col("sorted")).alias("hits"))
 
@@ -99,10 +111,12 @@ def explode_hits(audited: DataFrame, rules: list[Rule], context: bool = False) -
         lines = F.col("lines")
         item = F.transform("hits", lambda h: F.struct(*[h[c].alias(c) for c in HIT_FIELDS], F.when(
             h["text"].isNull(), code_context(lines, h["line"], F.get(arounds, h["rix"]))).alias("code")))
-        rows = audited.select("repo", "path", F.inline_outer(item))
+        rows = audited.select("repo", "path", swapped(F.col("content")).alias("swapped"), F.inline_outer(item))
     else:
-        rows = audited.select("repo", "path", F.inline_outer("hits"))
+        rows = audited.select("repo", "path", swapped(F.col("content")).alias("swapped"), F.inline_outer("hits"))
     rows = rows.where("rix IS NOT NULL")
+    # characters that matching swapped out come back in what was captured
+    rows = rows.withColumns({c: F.when(F.col("swapped"), F.translate(c, MARK_SUBSTITUTE, MARK)).otherwise(F.col(c)) for c in ("a", "b")})
     named = rows.join(F.broadcast(rules_dim(spark, rules)), "rix")
     suggestion = F.when(F.col("suggestion").isNotNull(), F.struct(
         _fill(F.col("suggestion")).alias("text"), _fill(F.col("suggestion_code")).alias("code")))

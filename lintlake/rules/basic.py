@@ -54,13 +54,21 @@ TODO = [
     ("TODO (Python)", "info", r"#\s*TODO[:\s](.+)", ("#", "todo")),
 ]
 
-COMMENTED = [
-    (r"//\s*(?:const|let|var|function|if|for|while|return|import|export)\s+", ("//",)),
-    (r"/\*[\s\S]*?(?:const|let|var|function|if|for|while|return)\s+[\s\S]*?\*/", ("/*", "*/")),
-]
-
 LOOP = r"(?:for|while)\s*\([^)]*\)\s*\{"
 CONCAT = r"""(?:\+=\s*['"`]|['"`]\s*\+\s*['"`])"""
+# Linear forms (see Rule.linear).  Headers in front of one closing parenthesis share what follows it, so if one fails all do.
+HEADER = r"(?:for|while)\s*\("
+# Of the headers behind the first one, in front of the next brace, the last one alone can end in a brace.
+NESTED_LINEAR = HEADER + r"[^)]*+(?:\)\s*+(?:\{(?:(?>[^{}]*" + HEADER + r")[^)]*+(?:\)\s*+(\{))?+)?+)?+)?+"
+# A body without concatenation is passed over up to its last parenthesis: a header after that is still open, and reaches beyond.
+CONCAT_LINEAR = HEADER + r"""[^)]*+(?:\)\s*+(?:\{(?:[^}]*(?:\+=\s*|['"`]\s*\+\s*)(['"`])|(?>[^}]*\))?+))?+)?+"""
+# The first keyword after the start, then the first end after it; without either no later start has one.
+COMMENT_LINEAR = r"/\*(?:(?>[\s\S]*?(?:const|let|var|function|if|for|while|return)\s)(?:[\s\S]*?\*(/)|[\s\S]*+)|[\s\S]*+)"
+
+COMMENTED = [
+    (r"//\s*(?:const|let|var|function|if|for|while|return|import|export)\s+", None, ("//",)),
+    (r"/\*[\s\S]*?(?:const|let|var|function|if|for|while|return)\s+[\s\S]*?\*/", COMMENT_LINEAR, ("/*", "*/")),
+]
 
 
 def env_name(label: str) -> str:
@@ -138,7 +146,7 @@ def _build() -> list[Rule]:
         "Nested loops can lead to O(n²) complexity. Consider if this can be optimized.",
         "Consider using hash maps, Sets, or different algorithms to reduce complexity.",
         "// Example: Use a Set for O(1) lookups\nconst itemSet = new Set(items);\narray.filter(x => itemSet.has(x));",
-        pattern=LOOP + r"[^{}]*" + LOOP, needs=("{", "for|while"), around=4, group="perf_basic"))
+        pattern=LOOP + r"[^{}]*" + LOOP, linear=NESTED_LINEAR, needs=("{", "for|while"), around=4, group="perf_basic"))
     r.append(Rule(
         "B-30", "performance", "info", "Simplifiable Loop Operation",
         "This loop runs {a} times and increments a counter by 1 each time. This can be simplified.",
@@ -157,7 +165,7 @@ def _build() -> list[Rule]:
         "String concatenation in loops creates many intermediate strings. Use array.join() for better performance.",
         "Collect strings in an array and join at the end.",
         'const parts = [];\nfor (...) { parts.push(str); }\nconst result = parts.join("");',
-        pattern=LOOP + r"[^}]*" + CONCAT, needs=("{", "for|while", "+"), around=3, group="perf_basic"))
+        pattern=LOOP + r"[^}]*" + CONCAT, linear=CONCAT_LINEAR, needs=("{", "for|while", "+"), around=3, group="perf_basic"))
     r.append(Rule(
         "B-33", "performance", "info", "Console Statement",
         "Console statements should be removed or disabled in production code.",
@@ -192,11 +200,11 @@ def _build() -> list[Rule]:
         "Use descriptive names that explain the variable's purpose.",
         "// Example: const userCount = 5; instead of const c = 5;",
         detector="short_names", group="naming_docs_basic"))
-    for i, (pattern, needs) in enumerate(COMMENTED, 43):
+    for i, (pattern, linear, needs) in enumerate(COMMENTED, 43):
         r.append(Rule(
             f"B-{i}", "quality", "info", "Commented-out Code",
             "Commented-out code should be removed. Use version control to track old code.",
-            pattern=pattern, needs=needs, group="commented_code_basic"))
+            pattern=pattern, linear=linear, needs=needs, group="commented_code_basic"))
     r.append(Rule(
         "B-45", "quality", "info", "Missing Documentation",
         'Exported function "{a}" lacks documentation. Add JSDoc for better maintainability.',

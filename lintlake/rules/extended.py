@@ -126,6 +126,8 @@ CONCAT = r"""(?:\+=\s*['"`]|['"`]\s*\+\s*['"`])"""
 # by what the rule asks for, neither is any later header in front of the same brace.
 NESTED_LINEAR = LOOP + r"[^{}]*+(?:\{(?>[^{}]*?" + LOOP + r")[^{}]*+(\{))?"
 CONCAT_LINEAR = LOOP + r"""[^{}]*+(?:\{(?:[^}]*(?:\+=\s*|['"`]\s*\+\s*)(['"`])|[^}]*+))?"""
+# PERF-06: without a call after the first import no later import has one.
+PERFORMANCE_LINEAR = {6: r"\bimport\s+time(?:[\s\S]*?time\.slee(p)|[\s\S]*+)"}
 # Advice of the concatenation rule by language family.
 CONCAT_ADVICE = [
     (JVM[:1] + ("csharp",), "Use StringBuilder."),
@@ -289,7 +291,7 @@ def _build() -> list[Rule]:
     for i, (group, severity, title, families, pattern, description, advice, needs) in enumerate(PERFORMANCE, 3):
         r.append(Rule(
             f"PERF-{i:02}", "performance", severity, title, description, advice,
-            families=families, pattern=pattern, needs=needs, group=group))
+            families=families, pattern=pattern, linear=PERFORMANCE_LINEAR.get(i), needs=needs, group=group))
 
     r.append(Rule(
         "Q-01", "quality", "info", "Line Too Long", "Line {line} is {a} chars (>120).",
@@ -310,10 +312,10 @@ def _build() -> list[Rule]:
     r.append(Rule(
         "Q-03", "quality", "info", "Magic Number", "{a} appears without a named constant.",
         "Extract into a named constant for clarity.",
-        families=BRACE, detector="magic", group="magic_numbers"))
+        families=BRACE, detector="magic", cap=10, group="magic_numbers"))
     r.append(Rule(
         "Q-04", "quality", "info", "Commented-out Code", "Remove dead code; rely on version control history.",
-        detector="commented", group="commented_code"))
+        detector="commented", cap=5, group="commented_code"))
     r.append(Rule(
         "Q-05", "quality", "warning", "Empty Catch Block", "Empty catch blocks silently swallow errors.",
         "At minimum log the error.", families=CATCH_FAMILIES, pattern=r"catch\s*\([^)]*\)\s*\{\s*\}",

@@ -25,6 +25,7 @@ class Rule:
     suppress: bool = True  # skip lines that define a pattern themselves
     around: int = 1  # lines of context on each side
     detector: str | None = None  # name in operators.detectors instead of a pattern
+    cap: int | None = None  # most findings of a detector per file; None: all
     group: str = ""  # rules queried together
     rix: int = field(default=-1)  # position in the profile
     ord: int = field(default=-1)  # emission order; records of one rule share it

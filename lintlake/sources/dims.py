@@ -11,11 +11,11 @@ EXTENSIONS = [
     (".mjs", "JavaScript (ESM)", "js", "//"),
     (".cjs", "JavaScript (CJS)", "js", "//"),
     (".jsx", "React JSX", "js", "//"),
+    (".ts", "TypeScript", "ts", "//"),
+    (".tsx", "TypeScript React", "ts", "//"),
     (".vue", "Vue", "js", "//"),
     (".svelte", "Svelte", "js", "//"),
     (".astro", "Astro", "js", "//"),
-    (".ts", "TypeScript", "ts", "//"),
-    (".tsx", "TypeScript React", "ts", "//"),
     (".coffee", "CoffeeScript", "coffee", "#"),
     (".css", "CSS", "css", "/*"),
     (".scss", "SCSS", "css", "//"),
@@ -24,16 +24,16 @@ EXTENSIONS = [
     (".styl", "Stylus", "css", "//"),
     (".html", "HTML", "html", "<!--"),
     (".htm", "HTML", "html", "<!--"),
-    (".xhtml", "XHTML", "html", "<!--"),
     (".xml", "XML", "xml", "<!--"),
+    (".xhtml", "XHTML", "html", "<!--"),
     (".svg", "SVG", "xml", "<!--"),
     (".pug", "Pug", "html", "//"),
     (".ejs", "EJS", "html", "<%#"),
-    (".erb", "ERB", "html", "<%#"),
     (".hbs", "Handlebars", "html", "{{!"),
     (".mustache", "Mustache", "html", "{{!"),
     (".njk", "Nunjucks", "html", "{#"),
     (".twig", "Twig", "html", "{#"),
+    (".erb", "ERB", "html", "<%#"),
     (".haml", "Haml", "html", "-#"),
     (".slim", "Slim", "html", "/"),
     (".blade.php", "Blade", "html", "{{--"),
@@ -59,11 +59,11 @@ EXTENSIONS = [
     (".cljs", "ClojureScript", "clojure", ";"),
     (".cs", "C#", "csharp", "//"),
     (".csx", "C# Script", "csharp", "//"),
-    (".razor", "Razor", "csharp", "//"),
-    (".cshtml", "Razor HTML", "csharp", "//"),
     (".fs", "F#", "fsharp", "//"),
     (".fsx", "F# Script", "fsharp", "//"),
     (".vb", "Visual Basic", "vb", "'"),
+    (".razor", "Razor", "csharp", "//"),
+    (".cshtml", "Razor HTML", "csharp", "//"),
     (".c", "C", "c", "//"),
     (".h", "C Header", "c", "//"),
     (".cpp", "C++", "cpp", "//"),
@@ -175,32 +175,32 @@ FILE_NAMES = [
     ("docker-compose.yaml", "Docker Compose", "yaml", "#"),
     ("Makefile", "Makefile", "make", "#"),
     ("GNUmakefile", "Makefile", "make", "#"),
-    ("justfile", "Justfile", "make", "#"),
     ("CMakeLists.txt", "CMake", "cmake", "#"),
     ("Gemfile", "Gemfile", "ruby", "#"),
     ("Rakefile", "Rakefile", "ruby", "#"),
     ("Vagrantfile", "Vagrantfile", "ruby", "#"),
     ("Cargo.toml", "Cargo Config", "toml", "#"),
     ("Cargo.lock", "Cargo Lock", "toml", "#"),
-    ("Pipfile", "Pipfile", "toml", "#"),
     ("go.mod", "Go Module", "go", "//"),
     ("go.sum", "Go Checksum", "text", None),
-    ("Procfile", "Procfile", "text", "#"),
     ("package.json", "npm Config", "json", None),
     ("tsconfig.json", "TypeScript Config", "json", None),
-    (".eslintrc", "ESLint Config", "json", None),
-    (".prettierrc", "Prettier Config", "json", None),
     ("webpack.config.js", "Webpack Config", "js", "//"),
-    ("vite.config.js", "Vite Config", "js", "//"),
     ("vite.config.ts", "Vite Config", "ts", "//"),
+    ("vite.config.js", "Vite Config", "js", "//"),
     (".gitignore", "Git Ignore", "gitignore", "#"),
     (".dockerignore", "Docker Ignore", "gitignore", "#"),
     (".editorconfig", "EditorConfig", "ini", "#"),
-    (".bazelrc", "Bazel Config", "ini", "#"),
+    (".eslintrc", "ESLint Config", "json", None),
+    (".prettierrc", "Prettier Config", "json", None),
+    ("Pipfile", "Pipfile", "toml", "#"),
+    ("Procfile", "Procfile", "text", "#"),
     ("Jenkinsfile", "Jenkinsfile", "groovy", "//"),
+    ("justfile", "Justfile", "make", "#"),
     ("BUILD", "Bazel", "python", "#"),
     ("BUILD.bazel", "Bazel", "python", "#"),
     ("WORKSPACE", "Bazel Workspace", "python", "#"),
+    (".bazelrc", "Bazel Config", "ini", "#"),
     ("meson.build", "Meson", "python", "#"),
     ("SConstruct", "SCons", "python", "#"),
     ("SConscript", "SCons", "python", "#"),
@@ -246,30 +246,231 @@ BASIC_EXTENSIONS = [
     (".graphql", "GraphQL"),
 ]
 
-IGNORED_DIRS = (
-    "node_modules .git .svn .hg .bzr vendor vendors third_party 3rdparty dist build out output _build target .next "
-    ".nuxt .output .vercel .netlify __pycache__ .pytest_cache .mypy_cache .ruff_cache venv .venv env .env coverage "
-    ".nyc_output .coverage bin obj .gradle .idea .vscode .vs .dart_tool .pub-cache Pods .terraform .terragrunt-cache "
-    "zig-cache zig-out .cargo elm-stuff _deps bower_components .cache .parcel-cache tmp temp .turbo .nx deps _opam"
-).split()
+IGNORED_DIRS = [
+    "node_modules",
+    ".git",
+    ".svn",
+    ".hg",
+    ".bzr",
+    "vendor",
+    "vendors",
+    "third_party",
+    "3rdparty",
+    "dist",
+    "build",
+    "out",
+    "output",
+    "_build",
+    "target",
+    ".next",
+    ".nuxt",
+    ".output",
+    ".vercel",
+    ".netlify",
+    "__pycache__",
+    ".pytest_cache",
+    ".mypy_cache",
+    ".ruff_cache",
+    "venv",
+    ".venv",
+    "env",
+    ".env",
+    "coverage",
+    ".nyc_output",
+    ".coverage",
+    "bin",
+    "obj",
+    ".gradle",
+    ".idea",
+    ".vscode",
+    ".vs",
+    ".dart_tool",
+    ".pub-cache",
+    "Pods",
+    ".terraform",
+    ".terragrunt-cache",
+    "zig-cache",
+    "zig-out",
+    ".cargo",
+    "elm-stuff",
+    "_deps",
+    "bower_components",
+    ".cache",
+    ".parcel-cache",
+    "tmp",
+    "temp",
+    ".turbo",
+    ".nx",
+    "deps",
+    "_opam",
+]
 
-BINARY_EXTENSIONS = (
-    ".png .jpg .jpeg .gif .ico .bmp .tiff .webp .avif .svg .woff .woff2 .ttf .eot .otf .mp3 .mp4 .wav .avi .mov .flac "
-    ".ogg .webm .mkv .pdf .doc .docx .xls .xlsx .ppt .pptx .zip .tar .gz .bz2 .rar .7z .xz .zst .exe .dll .so .dylib "
-    ".a .lib .o .obj .class .jar .war .pyc .pyo .whl .egg .db .sqlite .sqlite3 .mdb .bin .dat .iso .img .dmg .lock "
-    ".map .min.js .min.css"
-).split()
+BINARY_EXTENSIONS = [
+    ".png",
+    ".jpg",
+    ".jpeg",
+    ".gif",
+    ".ico",
+    ".bmp",
+    ".tiff",
+    ".webp",
+    ".avif",
+    ".svg",
+    ".woff",
+    ".woff2",
+    ".ttf",
+    ".eot",
+    ".otf",
+    ".mp3",
+    ".mp4",
+    ".wav",
+    ".avi",
+    ".mov",
+    ".flac",
+    ".ogg",
+    ".webm",
+    ".mkv",
+    ".pdf",
+    ".doc",
+    ".docx",
+    ".xls",
+    ".xlsx",
+    ".ppt",
+    ".pptx",
+    ".zip",
+    ".tar",
+    ".gz",
+    ".bz2",
+    ".rar",
+    ".7z",
+    ".xz",
+    ".zst",
+    ".exe",
+    ".dll",
+    ".so",
+    ".dylib",
+    ".a",
+    ".lib",
+    ".o",
+    ".obj",
+    ".class",
+    ".jar",
+    ".war",
+    ".pyc",
+    ".pyo",
+    ".whl",
+    ".egg",
+    ".db",
+    ".sqlite",
+    ".sqlite3",
+    ".mdb",
+    ".bin",
+    ".dat",
+    ".iso",
+    ".img",
+    ".dmg",
+    ".lock",
+    ".map",
+    ".min.js",
+    ".min.css",
+]
 # Compared with the lower-cased file name.
 LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "poetry.lock"]
 BUNDLE_SUFFIXES = [".min.js", ".min.css", ".bundle.js", ".chunk.js"]
 
-BASIC_IGNORED = ("node_modules vendor dist build .git .next __pycache__ .pytest_cache coverage .nyc_output target bin "
-                 "obj").split()
-BASIC_BINARY = (".png .jpg .jpeg .gif .ico .svg .woff .woff2 .ttf .eot .otf .mp3 .mp4 .wav .avi .mov .pdf .doc .docx "
-                ".xls .xlsx .zip .tar .gz .rar .7z .exe .dll .so .dylib").split()
-BASIC_SUPPORTED = (".js .jsx .ts .tsx .vue .svelte .py .rb .php .java .kt .go .rs .c .cpp .h .hpp .cs .html .css .scss "
-                   ".sass .less .json .yaml .yml .xml .toml .md .txt .sh .bash .zsh .sql .graphql .prisma .env "
-                   ".gitignore .dockerignore Dockerfile Makefile Gemfile Cargo.toml package.json").split()
+BASIC_IGNORED = [
+    "node_modules",
+    "vendor",
+    "dist",
+    "build",
+    ".git",
+    ".next",
+    "__pycache__",
+    ".pytest_cache",
+    "coverage",
+    ".nyc_output",
+    "target",
+    "bin",
+    "obj",
+]
+BASIC_BINARY = [
+    ".png",
+    ".jpg",
+    ".jpeg",
+    ".gif",
+    ".ico",
+    ".svg",
+    ".woff",
+    ".woff2",
+    ".ttf",
+    ".eot",
+    ".otf",
+    ".mp3",
+    ".mp4",
+    ".wav",
+    ".avi",
+    ".mov",
+    ".pdf",
+    ".doc",
+    ".docx",
+    ".xls",
+    ".xlsx",
+    ".zip",
+    ".tar",
+    ".gz",
+    ".rar",
+    ".7z",
+    ".exe",
+    ".dll",
+    ".so",
+    ".dylib",
+]
+BASIC_SUPPORTED = [
+    ".js",
+    ".jsx",
+    ".ts",
+    ".tsx",
+    ".vue",
+    ".svelte",
+    ".py",
+    ".rb",
+    ".php",
+    ".java",
+    ".kt",
+    ".go",
+    ".rs",
+    ".c",
+    ".cpp",
+    ".h",
+    ".hpp",
+    ".cs",
+    ".html",
+    ".css",
+    ".scss",
+    ".sass",
+    ".less",
+    ".json",
+    ".yaml",
+    ".yml",
+    ".xml",
+    ".toml",
+    ".md",
+    ".txt",
+    ".sh",
+    ".bash",
+    ".zsh",
+    ".sql",
+    ".graphql",
+    ".prisma",
+    ".env",
+    ".gitignore",
+    ".dockerignore",
+    "Dockerfile",
+    "Makefile",
+    "Gemfile",
+    "Cargo.toml",
+    "package.json",
+]
 
 MAX_FILE_BYTES = 1024 * 1024
 

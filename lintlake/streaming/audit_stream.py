@@ -28,15 +28,16 @@ def stream_findings(files: DataFrame, profile: str = "extended", groups: tuple[s
 
 
 def dedupe_stream(findings: DataFrame, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Drop findings already seen in earlier batches (a file that arrives twice).
+    """Drop findings already seen within ``delay`` in earlier batches (a file that arrives twice).
 
-    With an event time column the state is bounded by the watermark; without one it
-    keeps every key.
+    The state is bounded by the watermark of the event time; without an event time column
+    it is the time at which a batch is taken in.
     """
     key = ["repo", "file", "line", "title"]
-    if event_time is None:
-        return findings.dropDuplicates(key)
-    return findings.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(key)
+    if event_time is not None:
+        return findings.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(key)
+    taken = findings.withColumn("_taken", F.current_timestamp()).withWatermark("_taken", delay)
+    return taken.dropDuplicatesWithinWatermark(key).drop("_taken")
 
 
 def running_counts(findings: DataFrame) -> DataFrame:
