@@ -146,7 +146,54 @@ FROM judged j JOIN t{turns} t ON j.host = t.host JOIN d{turns} d ON j.host = d.h
 """
 
 
+# CRC-32 by a table of all bytes, folded over the bytes of each text; ranks and places by windows.
+OP3_SQL = r"""
+WITH RECURSIVE turns AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM turns WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM turns WHERE k = 8),
+hexed AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+summed AS (
+  SELECT doc_id, source, CAST(length(h) // 2 + 8 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)),
+                    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM hexed, tab),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY md5('lintlake|' || doc_id)) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS place FROM summed),
+placed AS (SELECT *, row_number() OVER (ORDER BY place, source, md5('lintlake|' || doc_id)) - 1 AS p, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p * 24 // n AS INTEGER) AS shard, CAST(p - (((p * 24 // n) * n + 23) // 24) AS BIGINT) AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
+
+
+def _secrets_sql() -> str:
+    """Every rule over every text: matches are set off by a mark, places are sums of lengths."""
+    rules = secrets.BASE + secrets.MORE
+    parts = []
+    for n, r in enumerate(rules):
+        pattern = ("(?i)" if r.fold else "") + r.pattern
+        quoted = pattern.replace("'", "''")
+        long = f"length(regexp_extract(ps[i], '{quoted}', {r.group})) >= {r.least}" if r.least else "true"
+        parts.append(f"""
+  SELECT doc_id, {n} AS k, '{r.kind}' AS kind, length(array_to_string(ps[1:i - 1], '')) AS s, length(array_to_string(ps[1:i], '')) AS e
+  FROM (SELECT doc_id, ps, unnest(range(2, len(ps), 2)) AS i FROM (
+    SELECT doc_id, string_split(regexp_replace(text, '{quoted}', chr(6) || '\\0' || chr(6), 'g'), chr(6)) AS ps FROM documents WHERE regexp_matches(text, '{quoted}')))
+  WHERE {long}""")
+    counts = ", ".join(f"count(*) FILTER (k = {n}) AS n_{r.kind}" for n, r in enumerate(secrets.BASE))
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)
+    return f"""
+WITH spans AS ({" UNION ALL ".join(parts)}),
+told AS (
+  SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < {len(secrets.BASE)}) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN told USING (doc_id)
+"""
+
+
 SQL: dict[str, str] = {
+    "op3_sharding": OP3_SQL,
+    "op4_secrets": _secrets_sql(),
     "op2_url_filters": _url_filters_sql(),
     "op8_decontamination": OP8_SQL,
 }
