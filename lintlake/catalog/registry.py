@@ -286,10 +286,37 @@ def _report_json(s: SparkSession, d: str) -> DataFrame:
     audited, rules = _audited(s, d)
     issues = FD.assign_ids(explode_hits(audited, rules, context=True))
     stats = file_stats(_chosen(s, d))
-    return report_documents(SC.report_of_findings(issues, stats), issues, stats)
-
-
-_add("report_json", _report_json)
+    return _report_rows(report_documents(SC.report_of_findings(issues, stats), issues, stats))
+
+
+def _report_rows(docs: DataFrame) -> DataFrame:
+    """The JSON documents read back as rows: ``repo, section, page, entry, field, value``."""
+    text = lambda c: F.col(c).cast("string")
+    head = docs.where("section = 'header'").select("repo", F.from_json("json", "statistics struct<totalIssues:bigint, languages:map<string,bigint>>, scores struct<overall:int>, summary string").alias("h"))
+    fields = F.map_concat(
+        F.create_map(F.lit("totalIssues"), text("h.statistics.totalIssues"), F.lit("overall"), text("h.scores.overall"), F.lit("summary"), F.col("h.summary")),
+        F.transform_values(F.transform_keys("h.statistics.languages", lambda k, v: F.concat(F.lit("language "), k)), lambda k, v: v.cast("string")))
+    zero = F.lit(0).cast("bigint")
+    rows = head.select("repo", F.lit("header").alias("section"), zero.alias("page"), zero.alias("entry"), F.explode(fields).alias("field", "value"))
+    issues = docs.where("section = 'issues'").select("repo", "section", "page", F.inline(F.from_json("json", "array<struct<id:bigint, title:string, file:string, line:int, code:string>>")))
+    shown = F.when(F.startswith("code", F.lit("[")), F.size(F.from_json("code", "array<struct<number:int>>")).cast("string")).otherwise(F.lit("text"))
+    rows = rows.unionByName(issues.select("repo", "section", "page", F.col("id").alias("entry"), F.explode(F.create_map(
+        F.lit("title"), F.col("title"), F.lit("at"), F.concat_ws(":", "file", text("line")), F.lit("code"), shown)).alias("field", "value")))
+    files = docs.where("section = 'files'").select("repo", "section", "page", F.posexplode(F.from_json("json", "array<struct<path:string, lines:int>>")).alias("k", "f"))
+    return rows.unionByName(files.select("repo", "section", "page", (F.col("page") * 1000 + F.col("k") + 1).alias("entry"), F.lit("path").alias("field"), F.concat_ws(":", "f.path", text("f.lines")).alias("value")))
+
+
+_add("report_json", _report_json, O.on_found(f"""
+SELECT repo, 'header' AS section, 0::BIGINT AS page, 0::BIGINT AS entry, u.field, u.value FROM (
+  SELECT repo, unnest([{{'field': 'totalIssues', 'value': total_issues::VARCHAR}}, {{'field': 'overall', 'value': overall::VARCHAR}}, {{'field': 'summary', 'value': summary}}]) AS u FROM report)
+UNION ALL SELECT repo, 'header', 0, 0, 'language ' || language, files::VARCHAR FROM ({_HIST})
+UNION ALL SELECT repo, 'issues', (id - 1) // 1000, id, u.field, u.value FROM (
+  SELECT repo, id, unnest([{{'field': 'title', 'value': title}}, {{'field': 'at', 'value': file || ':' || line}}, {{'field': 'code', 'value': code}}]) AS u FROM (
+    SELECT f.repo, title, file, line, row_number() OVER (PARTITION BY f.repo ORDER BY file, ord, seq) AS id,
+      CASE WHEN title IN ('Line Too Long', 'Long Function', 'Long Method') THEN 'text' ELSE (least(len(s.ls), line + 1) - greatest(1, line - 1) + 1)::VARCHAR END AS code
+    FROM found f JOIN sel s ON s.repo = f.repo AND s.path = f.file))
+UNION ALL SELECT repo, 'files', (n - 1) // 1000, n, 'path', path || ':' || lines FROM (
+  SELECT repo, path, len(ls) AS lines, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM sel)""", more=_REPORT))
 
 # --- references between files ---------------------------------------------------------
 
