@@ -25,6 +25,11 @@ def corpus(n=900):
     return rows
 
 
+@pytest.fixture(autouse=True)
+def few_steps(monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 150)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     rows = corpus()

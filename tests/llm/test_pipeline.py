@@ -10,18 +10,18 @@ from .test_decontaminate import plain as plain_hits
 from .test_secrets import plain as plain_secrets
 from .test_simhash import classes, plain_fingerprint
 
-DOC = "{} plain and harmless words number {} of a text that is long enough to be told from every other text by its shingles {}"
+DOC = "{} plain and harmless words number {} of a text that is long enough to be told from every other text by its shingles, you are a reader and a friend indeed {}"
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
-    rude = "you are a zorbag and a klumpft vexnor zorbag indeed"
+    rude = "you are a zorbag and a klumpft vexnor indeed"
     docs = [(i, DOC.format(f"w{i * i}", i, " ".join(f"x{i * k % 97}" for k in range(30))), "en", f"s{i % 3}") for i in range(120)]
     docs = [(i, t + " " + rude if i % 6 == 0 else t, a, b) for i, t, a, b in docs]
     docs += [(200 + i, docs[i][1], "en", "s0") for i in (1, 2, 3)] + [(300, None, None, None), (301, "", "en", "s"), (None, "a text without id", "en", "s")]
     bench = " ".join(f"item{k}" for k in range(14))
-    docs += [(400, "before it " + bench + " after it all the rest of the words", "en", "s"), (401, "my password = hunter2222 is here and nothing else to be seen", "en", "s")]
+    docs += [(400, "before it " + bench + " after it all the rest of the words", "en", "s"), (401, "my password = hunter2222 is here, you are a reader and a friend indeed, harmless words", "en", "s")]
     spark.createDataFrame([(i, t, a, b, None if t is None else len(t)) for i, t, a, b in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(120)], "doc_id bigint, quality bigint, toxic bigint").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, bench)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
