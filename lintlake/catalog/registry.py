@@ -14,8 +14,8 @@ from ..operators import selection as SEL
 from ..operators.classify import classify_language, file_stats
 from ..plans.audit import audit_files, explode_hits, findings
 from ..rules import profile_rules
-from ..sources.readers import decode_payloads, read_table, tree_blobs
-from ..sources.sinks import report_documents
+from ..sources.readers import decode_payloads, read_table, scan_directory, tree_blobs
+from ..sources.sinks import report_documents, write_files, write_findings, write_report_json
 from ..streaming import audit_stream as ST
 from . import oracle as O
 from .corpus import corpus, inventory
@@ -318,6 +318,42 @@ UNION ALL SELECT repo, 'issues', (id - 1) // 1000, id, u.field, u.value FROM (
 UNION ALL SELECT repo, 'files', (n - 1) // 1000, n, 'path', path || ':' || lines FROM (
   SELECT repo, path, len(ls) AS lines, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM sel)""", more=_REPORT))
 
+# --- sinks and folders: written to a fresh shared folder and read back --------------------
+
+
+def _written_findings(s: SparkSession, d: str) -> DataFrame:
+    path = ST.run_folder(s, "findings")
+    write_findings(FD.assign_ids(_found(s, d)), path)
+    return s.read.parquet(path).select("repo", "id", "rule_id", "file", "line", "title")
+
+
+_add("written_findings", _written_findings, O.on_found(f"SELECT repo, {_ID} AS id, rule_id, file, line, title FROM found"))
+
+
+def _written_report(s: SparkSession, d: str) -> DataFrame:
+    path = ST.run_folder(s, "report")
+    issues, stats = FD.assign_ids(_found(s, d)), file_stats(_chosen(s, d))
+    write_report_json(report_documents(SC.report_of_findings(issues, stats), issues, stats), path)
+    return s.read.json(path).groupBy("repo", "section").agg(F.count("*").alias("documents"))
+
+
+_add("written_report", _written_report, O.on_found("""SELECT repo, 'header' AS section, count(*) AS documents FROM report GROUP BY repo
+UNION ALL SELECT repo, 'issues', (count(*) + 999) // 1000 FROM found GROUP BY repo
+UNION ALL SELECT repo, 'files', (count(*) + 999) // 1000 FROM sel GROUP BY repo""", more=_REPORT))
+
+
+def _directory_scan(s: SparkSession, d: str) -> DataFrame:
+    """Every document as a file of a folder tree, walked and read."""
+    root = ST.run_folder(s, "tree")
+    docs = read_table(s, f"{d}/documents.parquet", "doc_id", "text")
+    path = F.concat(F.lit("d"), (F.col("doc_id") % 13).cast("string"), F.lit("/_part/f "), F.col("doc_id").cast("string"), F.lit(".md"))
+    write_files(docs.select(path.alias("path"), F.col("text").alias("content")), root)
+    return scan_directory(s, root, "landed").select("repo", "path", "size_bytes", F.md5("content").alias("digest"))
+
+
+_add("directory_scan", _directory_scan,
+     "SELECT 'landed' AS repo, 'd' || (doc_id % 13) || '/_part/f ' || doc_id || '.md' AS path, CAST(strlen(text) AS BIGINT) AS size_bytes, md5(text) AS digest FROM documents WHERE strlen(text) <= 1048576")
+
 # --- references between files ---------------------------------------------------------
 
 _add("dead_files", lambda s, d: SC.dead_files(_chosen(s, d)), O.with_(O.selected("extended"), r"""
@@ -352,5 +388,7 @@ def _chat_sql(query: str) -> str:
 
 _add("stream_findings", lambda s, d: ST.drain(ST.dedupe_stream(ST.stream_findings(_arriving(s, d))).select(*FINDING)),
      _chat_sql("SELECT repo, rule_id, type, severity, title, description, file, line FROM found"))
+_add("stream_progress", lambda s, d: ST.progress(ST.observed(_arriving(s, d)).select("repo", "path")),
+     f"WITH {_CHAT[1]} SELECT count(*) AS files, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS lines FROM files")
 _add("stream_counts", lambda s, d: ST.drain(ST.running_counts(ST.stream_findings(ST.observed(_arriving(s, d)))), "complete"),
      _chat_sql("SELECT repo, type, severity, count(*) AS count FROM found GROUP BY ALL"))

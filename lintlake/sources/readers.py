@@ -59,6 +59,13 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows[at : at + LIST_CHUNK], columns=LISTED)
 
 
+def as_uri(root: str) -> str:
+    """A folder's address; a plain path, or Hadoop's ``file:/path``, is a local one."""
+    if root.startswith("file:/") and not root.startswith("file://"):
+        return "file://" + root[len("file:"):]
+    return root if "://" in root else "file://" + quote(os.path.abspath(root))
+
+
 def fs_uri(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{quote(name)}"
 
@@ -75,8 +82,7 @@ def list_directory(spark: SparkSession, root: str, repo: str) -> DataFrame:
     such as ``__init__.py`` and ``.env``.
     """
     ensure_checkpoint_dir(spark)
-    uri = root if "://" in root else "file://" + quote(os.path.abspath(root))
-    frontier = spark.createDataFrame([(uri, "")], "uri string, rel string")
+    frontier = spark.createDataFrame([(as_uri(root), "")], "uri string, rel string")
     found: DataFrame | None = None
     while True:
         level = (

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.findings import assign_ids, stored
 from ..operators.rank import row_numbers
+from .readers import as_uri
 
 PAGE_SIZE = 1000
 PAGE_BYTES = 16 * 1024 * 1024
@@ -69,6 +75,22 @@ def report_documents(
     return head.unionByName(issue_pages).unionByName(file_pages)
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Every ``path, content`` as a file under a folder; how many there are.  A task that runs again writes the same files."""
+    base = as_uri(root)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                fs, at = pafs.FileSystem.from_uri("/".join([base.rstrip("/"), *map(quote, path.split("/"))]))
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(at) as f:
+                    f.write(content.encode())
+            yield batch[["path"]]
+
+    return files.select("path", "content").mapInPandas(put, "path string").count()
+
+
 BUCKETS = 256
 
 

@@ -14,6 +14,7 @@ from ..plans.audit import findings as batch_findings
 FILES_SCHEMA = "repo string, path string, content string"
 # Small batches give steady progress; raise it for throughput.
 BATCH_FILES = 5
+PROGRESS_KEPT = 100_000
 
 
 def read_files(spark: SparkSession, path: str, schema: str = FILES_SCHEMA, files_per_batch: int = BATCH_FILES, **options) -> DataFrame:
@@ -71,5 +72,22 @@ def drain(query_input: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(query_input.schema).parquet(out)
 
 
+def progress(query_input: DataFrame, name: str = "progress") -> DataFrame:
+    """Process everything that is there and add up what ``observed`` has told of each batch (one row)."""
+    spark = query_input.sparkSession
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept, "100")
+    spark.conf.set(kept, str(PROGRESS_KEPT))
+    try:
+        q = query_input.writeStream.format("noop").option("checkpointLocation", run_folder(spark, "state")).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(kept, before)
+    q.awaitTermination()
+    if len(q.recentProgress) >= PROGRESS_KEPT:
+        raise RuntimeError("more batches than progress events are kept: take more files per batch")
+    told = [p.observedMetrics[name] for p in q.recentProgress if name in p.observedMetrics]
+    return spark.createDataFrame([(sum(t["files"] or 0 for t in told), sum(t["lines"] or 0 for t in told))], "files bigint, lines bigint")
+
+
 def cancel(query: StreamingQuery) -> None:
     query.stop()
