@@ -37,7 +37,9 @@ LONG_WORD = 512
 """Longer words are walked alone instead of being put into the trie, with the same steps."""
 STABLE = "\u0250"
 """Below it, the categories of letters are the same in all versions of Unicode."""
-CACHE = 250_000
+BLOCK = 2 * 1024 * 1024
+"""Bytes of text whose words share a trie."""
+CACHE = 150_000
 """Entries of each of the two generations of a worker's caches."""
 
 # fixed values: the normalisation and splitting rules that the vocabulary file states
@@ -153,7 +155,7 @@ class Vocabulary:
         key = a << 32 | b
         ok = self.fits.get(key)
         if ok is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
             ok = self.fits[key] = (a, b) not in self.rank and self.meet(a, b)
         return ok
@@ -298,7 +300,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", digests: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(spec.value)
         gc.disable()  # tries are many small objects without cycles
-        for batch in blocks(batches, column):
+        for batch in blocks(batches, column, BLOCK):
             both = vocab.encode_block(batch.column(column).to_pylist())
             arrays = [batch.column(c) for c in kept]
             counts = [i.count(" ") + 1 if i else 0 for i, _ in both]
@@ -306,7 +308,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", digests: bool = Fal
             if digests:
                 arrays += [pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in both], pa.string()) for k in (0, 1)]
             if ids:
-                flat = np.array(" ".join(i for i, _ in both if i).split(), np.int32)
+                flat = np.fromstring(" ".join(i for i, _ in both if i), np.int32, sep=" ")
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
 
