@@ -100,7 +100,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DA
     trust = flow(hosts.select("host", F.col("allowed").alias("seed")), links, damping, turns)
     distrust = flow(hosts.select("host", F.col("blocked").alias("seed")), links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), damping, turns)
     scores = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
-    scores = scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    scores = stored(scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     bad = F.col("distrust") - F.col("trust") >= margin * (1 - damping)
     return rows.join(scores, "host").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
