@@ -87,23 +87,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float) -> tuple[np.nd
     """Weights of all buckets (ratio times coefficient) and the intercept, for classes of which the second has this share."""
     flat, size = np.concatenate(rows), 1 << BITS
     lengths = np.array([len(r) for r in rows])
-    of = np.repeat(np.arange(len(rows)), lengths)
-    toxic = labels[of] == 1
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+    toxic = (labels == 1)[of]
     p = np.bincount(flat[toxic], minlength=size).astype(float)
     q = np.bincount(flat[~toxic], minlength=size).astype(float)
     n1, n0 = labels.sum(), (1 - labels).sum()
     ratio = np.log((p + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((q + SMOOTH) / (n0 + 2 * SMOOTH))
     ratio[(p + q < LEAST_COUNT) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    keep = ratio[flat] != 0
+    keep = (ratio != 0)[flat]
     flat, of = flat[keep], of[keep]
-    used, where = np.unique(flat, return_inverse=True)
+    del rows, toxic, keep  # they are as large as all features of the sample
+    used = np.flatnonzero(ratio)
+    where = np.searchsorted(used, flat).astype(np.int32)
     # The intercept is the log odds of the classes, so a text that says nothing gets the share of class 1.
     b = np.log((n1 + 1) / (n0 + 1))
     x, w, speed = ratio[used], np.zeros(len(used)), np.full(len(used), 1e-6)
     for _ in range(ROUNDS):  # full-batch steps scaled by past gradients
-        score = b + np.bincount(of, weights=(w * x)[where], minlength=len(rows))
+        score = b + np.bincount(of, weights=(w * x)[where], minlength=len(labels))
         error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels
-        gradient = np.bincount(where, weights=error[of], minlength=len(used)) * x / len(rows) + DECAY * w / len(rows)
+        gradient = np.bincount(where, weights=error[of], minlength=len(used)) * x / len(labels) + DECAY * w / len(labels)
         speed += gradient**2
         w -= RATE * gradient / np.sqrt(speed)
     weights = np.zeros(size, np.float32)
@@ -124,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     y = got.column("label").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
-    return fit([np.frombuffer(f, np.int32) for f in got.column("f").to_pylist()], y, share)
+    vectors = [np.frombuffer(f.as_buffer(), np.int32) for f in got.column("f")]  # views, no copies
+    return fit(vectors, y, share)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "text", name: str = "score") -> DataFrame:
