@@ -34,7 +34,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, VOCABULARY, digests=True)
+    # the workers hold other stages' data too: smaller caches and blocks
+    return bpe.encode(docs, VOCABULARY, digests=True, cache=150_000, block=2 * 1024 * 1024)
 
 
 STAGES = [
