@@ -9,7 +9,7 @@ Only small columns are ranked, never texts.  No rank is one task per source: row
 range-partitioned, numbered inside partitions and offset by the counts before (a source
 with a third of all rows spreads over many partitions).
 
-Defined cases: null texts have size 8 and checksum 0; a null source is a source; repeated
+Defined cases: null texts have size 8 and checksum 0; a null source is a source, at equal places the last one; repeated
 rows, and repeated or null ids, are rows of their own; fewer rows than shards leave the
 last shards empty; an empty table has no rows.
 """
@@ -42,7 +42,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, source:
     # Sources are few against rows, but not bounded: Spark decides by their size how to join them.
     placed = ranked.join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
         "id", "size", "crc", "dice", "row", "source", ((F.col("rank") - F.lit(0.5)) / F.col("n")).alias("place"))
-    in_order = row_numbers(placed, "at", [], ["place", "source", "dice", "crc", "size", "row"])
+    in_order = row_numbers(placed, "at", [], ["place", F.col("source").asc_nulls_last(), "dice", "crc", "size", "row"])
     # Shard k holds the places from ceil(k * total / shards) on.
     shard = F.expr(f"CAST((at - 1) * {shards} DIV {max(total, 1)} AS INT)")
     first = F.expr(f"(CAST(shard AS BIGINT) * {total} + {shards - 1}) DIV {shards}")

@@ -44,8 +44,13 @@ def row_numbers(df: DataFrame, name: str, by: list[str], order: list[str | Colum
     )
     inner = Window.partitionBy("_part", *by).orderBy(*sort)
     numbered = placed.withColumn("_rn", F.row_number().over(inner))
+    # Null is a group like any other, so the keys are compared null-safely.
+    named = offsets.select(F.col("_part").alias("_at"), *(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_offset")
+    same = F.col("_part") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
     return (
-        numbered.join(F.broadcast(offsets), ["_part", *by], "left")
+        numbered.join(F.broadcast(named), same, "left")
         .withColumn(name, (F.col("_rn") + F.coalesce("_offset", F.lit(0))).cast("bigint"))
-        .drop("_rn", "_offset", "_part")
+        .drop("_rn", "_offset", "_part", "_at", *(f"_by{i}" for i in range(len(by))))
     )
