@@ -5,9 +5,9 @@ header, footer, sidebar, notice, advert, form, script, style or comment leaves a
 The length of a line is its text outside links.  Lengths are summed over sliding windows of
 lines; the text begins where the sums surge from nothing and ends where they dive to nothing
 again.  Between surges and dives lie regions; the one with the most text is the main text,
-and with it every region whose highest sum comes near.  A page's ``article`` or ``main``
-element is set off by a whole window of blank lines, so that a region does not run over its
-edges, and if there is one with text, only regions inside count.
+and with it every region whose highest sum comes near.  A page with text in an ``article`` or
+``main`` element tells its main text itself: all lines inside that were not left out are kept,
+no line outside, and nothing is judged by its length.
 
 Pages are handled where they are read; nothing is shuffled.
 
@@ -94,7 +94,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 out_depth -= skipped
                 links -= last == "a"
                 if last in BLOCKS and not out_depth and not skipped:
-                    page.end_line(WINDOW if last in MAIN else 0)
+                    page.end_line(WINDOW if last in MAIN and page.inside == 1 else 0)
                 if last in MAIN and not skipped and not out_depth:
                     page.inside -= 1
                 if last == name:
@@ -130,7 +130,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if skip and not out_depth:
             page.end_line(1)
         if name in MAIN and not out_depth:
-            page.end_line(WINDOW)
+            page.end_line(0 if page.inside else WINDOW)
             page.inside += 1
         out_depth += skip
         links += name == "a"
@@ -166,9 +166,11 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines = lines_of(html)
-    inside = any(t and within for t, _, within in lines)
-    texts = [bool(t) and (within or not inside) for t, _, within in lines]
-    found = regions([length if ok else 0 for (_, length, _), ok in zip(lines, texts)], texts)
+    own = [t for t, _, within in lines if t and within]
+    if own:
+        return "\n".join(own)
+    texts = [bool(t) for t, _, _ in lines]
+    found = regions([length for _, length, _ in lines], texts)
     if not found:
         return ""
     best = max(found, key=lambda r: (r[2], r[3], -r[0]))

@@ -32,6 +32,17 @@ def test_many_regions_and_long_pages():
     assert main_text(page).split("\n") == [f"Paragraph {i} with a good deal of text in it, more than a menu." for i in range(3000)]
 
 
+def test_nothing_of_an_article_is_dropped_for_its_length():
+    long = "".join(f"<p>Paragraph {i} with a good deal of text in it.</p>" for i in range(9))
+    lines = [f"Paragraph {i} with a good deal of text in it." for i in range(9)]
+    assert main_text(f"<p>Out</p><main><h1>Title</h1><article>{long}</article><p>closing note</p></main><p>Out</p>").split("\n") == ["Title", *lines, "closing note"]
+    gone = "<aside>a</aside><form><p>b</p></form><div class=ad>c</div>"
+    assert main_text(f"<article>{long}{gone}<p>The end.</p></article>").split("\n") == [*lines, "The end."]
+    assert main_text(f"<article>{long}</article><p>Out</p><article><p>Two.</p></article>").split("\n") == [*lines, "Two."]
+    # an article without text tells nothing
+    assert main_text(f"<article></article><div>{long}</div>").split("\n") == lines
+
+
 def test_table(spark):
     rows = [(1, "u", PAGES[0][0], "t", 3), (1, "u", PAGES[0][0], "t", 3), (None, None, None, None, None), (2, "v", "", "t", 1)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
