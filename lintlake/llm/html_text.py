@@ -19,7 +19,7 @@ length are handled whole; repeated rows are repeated in the result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from html import unescape
 
 import pyarrow as pa
@@ -42,11 +42,35 @@ LEFT_OUT = frozenset("nav header footer aside form button select option datalist
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
+# inside these, and inside a line that has begun, an inline element is part of a sentence
+SENTENCE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption caption".split())
+PHRASE = frozenset("abbr b bdi bdo cite code dfn del em font i ins kbd mark q s samp small strike strong sub sup tt u var".split())
 # words of a class or id that tell what the element is for
 PURPOSE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side-bar|widget|toolbar|(?:site|page|top|main|global)[_-]?header|masthead|"
+    r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side-bar|widgets?|toolbar|(?:site|page|top|main|global)[_-]?header|masthead|"
     r"footer|foot|copyright|legal|comments?|commentlist|respond|disqus|replies|reply|discussion|notice|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|"
-    r"social|share|sharing|related|recommend\w*|pagination|pager|tags?|skip-link|complementary|contentinfo|search-form|form)(?:$|[\s_-])|(?:^|\s)(?:header|top)(?:$|\s)", re.I)
+    r"social|share|sharing|related|recommend\w*|pagination|pager|tags?|skip-link|complementary|contentinfo|search-form|form|header|top", re.I)
+# words that may stand beside one of these in a class or id and leave its meaning
+BESIDE = re.compile(
+    r"\d\w*|area|articles?|bar|block|bottom|box|btn|buttons?|col|column|container|entry|global|group|holder|icons?|inner|items?|left|links?|list|main|meta|outer|page|panel|posts?|primary|right|row|secondary|section|"
+    r"side|site|text|title|top|unit|wrap|wrapper|zone|header|", re.I)
+AT_ALL = frozenset(("header", "top"))  # a purpose only as a whole class or id
+BY_NAME, BY_CLASS = 1, 2
+MOST = 0.8
+"""An element is never left out for its class or id if it has this share of the text of a page without an article."""
+
+
+def has_purpose(attributes: str) -> bool:
+    """Whether a whole class or id (or the role or label) tells that an element is not text: every word of it fits, as in ``cookie-notice``, not in ``has-sidebar``."""
+    for value in MARKED.findall(attributes):
+        for token in value.strip("\"' ").split():
+            if PURPOSE.fullmatch(token):
+                return True
+            words = re.split("[_-]+", token)
+            told = [bool(PURPOSE.fullmatch(w)) and w.lower() not in AT_ALL for w in words]
+            if any(told) and all(t or BESIDE.fullmatch(w) for t, w in zip(told, words)):
+                return True
+    return False
 
 
 class Page:
@@ -57,6 +81,8 @@ class Page:
         self.parts: list[str] = []
         self.linked = 0
         self.inside = 0
+        self.doubted: dict[int, tuple[int, int, int | None]] = {}
+        """Elements left out for a class or id, by place: their text outside links, that of it in an article, and the outermost such element around."""
 
     def end_line(self, blank: int = 0) -> None:
         text = " ".join(unescape("".join(self.parts)).split())
@@ -67,10 +93,52 @@ class Page:
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """The page without markup."""
+    """The page without markup.
+
+    A class or id may mislead: where no article with text is left, the element that holds it,
+    or that holds most of the page's text, is not left out, nor are those within it that do.
+    """
+    page = read_page(html, frozenset())
+    if not page.doubted or any(t and within for t, _, within in page.lines):
+        return page.lines
+    rest = sum(length for _, length, _ in page.lines)
+    outermost = {k: x for k, x in page.doubted.items() if x[2] is None}
+    best = max(outermost, key=lambda k: (outermost[k][1], -k))
+    most = outermost[best][1]
+    if most and most >= rest:
+        kept = {k for k, (_, own, around) in page.doubted.items() if best in (k, around) and own * 2 > most}
+    else:
+        every = rest + sum(x[0] for x in outermost.values())
+        kept = {k for k, (length, _, _) in page.doubted.items() if length >= MOST * every > 0}
+    return read_page(html, kept).lines if kept else page.lines
+
+
+def read_page(html: str, kept: Set[int]) -> Page:
+    """The lines of a page; the elements at the places ``kept`` stay whatever their class or id."""
     page, open_, at, n = Page(), [], 0, len(html)
     out_depth = 0  # open elements that are left out
     links = 0
+    doubts: list[list[int]] = []  # place, text and article text of open elements left out for a class or id
+    firm = mains = 0  # open elements left out for their name, and articles inside what is left out
+
+    def close() -> tuple[str, int]:
+        nonlocal out_depth, links, firm, mains
+        last, skipped = open_.pop()
+        out_depth -= skipped > 0
+        links -= last == "a"
+        firm -= skipped == BY_NAME
+        mains -= last in MAIN and out_depth > 0
+        if skipped == BY_CLASS:
+            place, length, own = doubts.pop()
+            page.doubted[place] = (length, own, doubts[0][0] if doubts else None)
+            if doubts:
+                doubts[-1][1] += length
+                doubts[-1][2] += own
+        return last, skipped
+
+    def in_paragraph() -> bool:
+        return next((x[0] for x in reversed(open_[-8:]) if x[0] == "p" or x[0] in MAIN), "") == "p"  # an article ends with its end tag
+
     while at < n:
         m = TAG.search(html, at)
         piece = html[at : m.start() if m else n]
@@ -78,6 +146,9 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             page.parts.append(piece)
             if links:
                 page.linked += len(piece.strip())
+        elif piece and doubts and not firm and not links:
+            doubts[-1][1] += len(piece.strip())
+            doubts[-1][2] += len(piece.strip()) if mains else 0
         if not m:
             break
         at = m.end()
@@ -90,9 +161,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                     page.end_line()
                 continue
             while True:
-                last, skipped = open_.pop()
-                out_depth -= skipped
-                links -= last == "a"
+                last, skipped = close()
                 if last in BLOCKS and not out_depth and not skipped:
                     page.end_line(WINDOW if last in MAIN and page.inside == 1 else 0)
                 if last in MAIN and not skipped and not out_depth:
@@ -116,27 +185,34 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             continue
         if name in BLOCKS:
             # a block ends an open paragraph, and an item the item before
-            while open_ and (open_[-1][0] in CLOSED_BY_BLOCK or name == open_[-1][0] == "li") or any(x[0] == "p" for x in open_[-8:]) and name not in MAIN:
-                last, skipped = open_.pop()
-                out_depth -= skipped
-                links -= last == "a"
+            while open_ and (open_[-1][0] in CLOSED_BY_BLOCK or name == open_[-1][0] == "li") or name not in MAIN and in_paragraph():
+                close()
             if not out_depth:
                 page.end_line()
         skip = 0
         if name in LEFT_OUT:
-            skip = int(name != "header" or not page.inside)  # an article's own header has its title
-        elif m[3] and name not in ("html", "body", "article", "main"):
-            skip = int(any(PURPOSE.search(v.strip("\"' ")) for v in MARKED.findall(m[3])))
+            skip = BY_NAME if name != "header" or not (page.inside or mains) else 0  # an article's own header has its title
+        elif m[3] and name not in ("html", "body", "article", "main") and m.start() not in kept and has_purpose(m[3]):
+            # a part of a sentence is no menu or notice
+            worded = name in PHRASE or name not in BLOCKS and (any(x[0] in SENTENCE for x in open_) or any(map(str.strip, page.parts)))
+            skip = 0 if worded else BY_NAME if firm else BY_CLASS
         if skip and not out_depth:
             page.end_line(1)
         if name in MAIN and not out_depth:
             page.end_line(0 if page.inside else WINDOW)
             page.inside += 1
-        out_depth += skip
+        elif name in MAIN:
+            mains += 1
+        out_depth += skip > 0
         links += name == "a"
+        firm += skip == BY_NAME
+        if skip == BY_CLASS:
+            doubts.append([m.start(), 0, 0])
         open_.append((name, skip))
+    while open_:
+        close()
     page.end_line()
-    return page.lines
+    return page
 
 
 def regions(lengths: list[int], texts: list[bool], window: int = WINDOW) -> list[tuple[int, int, int, int]]:

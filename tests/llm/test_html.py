@@ -39,10 +39,33 @@ def test_nothing_of_an_article_is_dropped_for_its_length():
     gone = "<aside>a</aside><form><p>b</p></form><div class=ad>c</div>"
     assert main_text(f"<article>{long}{gone}<p>The end.</p></article>").split("\n") == [*lines, "The end."]
     assert main_text(f"<article>{long}</article><p>Out</p><article><p>Two.</p></article>").split("\n") == [*lines, "Two."]
+    assert main_text("<p>Out<article><p>One.</p><p>Two.</p></article><p>Out</p>") == "One.\nTwo."
     # an article without text tells nothing
     assert main_text(f"<article></article><div>{long}</div>").split("\n") == lines
 
 
+def test_a_class_does_not_lose_the_article():
+    text = "".join(f"<p>Paragraph {i} with a good deal of text in it.</p>" for i in range(5))
+    want = [f"Paragraph {i} with a good deal of text in it." for i in range(5)]
+    for wrapper in ("div class='content has-sidebar'", "div class='layout-sidebar-right'", "div class='post has-comments'", "section class='tag-news'", "div class=search", "div id=top"):
+        name = wrapper.split()[0]
+        page = f"<nav>n</nav><{wrapper}><article>{text}</article><div class='sidebar'>side</div></{name}><div class='related'><article>Teaser</article></div>"
+        assert main_text(page).split("\n") == want, wrapper
+        assert main_text(f"<{wrapper}>{text}</{name}><footer>f</footer>").split("\n") == want, wrapper
+    # wrappers in wrappers, and one that never ends
+    assert main_text("<div class=alert>" * 300 + f"<main>{text}</main>").split("\n") == want
+    # what is about as long as the text, or longer than a page's article, is still left out
+    for gone in ("comments", "post-comments", "cookie-notice", "sidebar-right", "ad ad-300x250", "footer_widgets"):
+        assert main_text(f"<div>{text}</div><div class='{gone}'>{text}</div>").split("\n") == want, gone
+        assert main_text(f"<article>{text}</article><div class='{gone}'>{text * 9}</div>").split("\n") == want, gone
+    assert main_text(f"<div>{text}</div><div class='related'><article>Teaser</article></div>").split("\n") == want
+
+
+def test_a_class_does_not_lose_words_of_a_sentence():
+    assert main_text("<p>Read <span class='alert'>this part</span> and <b class='notice'>that</b>.</p>") == "Read this part and that."
+    assert main_text("<div><b class='notice'>Note:</b> some <span class=tag>words</span> here.</div>") == "Note: some words here."
+
+
 def test_table(spark):
     rows = [(1, "u", PAGES[0][0], "t", 3), (1, "u", PAGES[0][0], "t", 3), (None, None, None, None, None), (2, "v", "", "t", 1)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
