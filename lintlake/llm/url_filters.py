@@ -6,6 +6,8 @@ between hosts form a graph, trust flows along the links from hosts whose pages r
 allow, distrust flows against them from hosts whose pages rules block (who links to blocked
 hosts is distrusted), both as personalised PageRank.  A host is a seed by the share of its
 pages that rules allow or block, so a host blocked in one directory alone is no full seed.
+Of a host that is linked but has no pages here, as is common for blocked ones, the linked
+urls are judged in place of pages.
 A host is blocked if its distrust exceeds its trust by half of what a wholly blocked host
 has of its own.
 
@@ -68,12 +70,14 @@ def fitting(rules: tuple[Rule, ...], host: Column, path: Column) -> Column:
     return out
 
 
-def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``src, dst, n``: links from pages of one host to another host."""
+def host_links(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``src, dst, n``: links from pages of one host to another host; ``allow, block``: those of them to urls that rules allow or block."""
     targets = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
     cut = pages.select(host_and_path(F.col(url))[0].alias("src"), F.explode(targets).alias("target"))
-    dst = host_and_path(F.when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), F.col("target"))).otherwise(F.col("target")))[0]
-    return cut.select("src", dst.alias("dst")).where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    dst, path = host_and_path(F.when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), F.col("target"))).otherwise(F.col("target")))
+    found = cut.select("src", dst.alias("dst"), path.alias("path")).where("src <> dst AND src <> '' AND dst <> ''")
+    found = found.select("src", "dst", fitting(rules, F.col("dst"), F.col("path"))["verdict"].alias("verdict"))
+    return found.groupBy("src", "dst").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in ("allow", "block")))
 
 
 def flow(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, turns: int = TURNS) -> DataFrame:
@@ -96,9 +100,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DA
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", fitting(rules, F.col("host"), F.col("path")).alias("fit"))
     share = lambda v: (F.sum(F.when(F.col("fit.verdict") == v, 1).otherwise(0)) / F.count("*"))
     hosts = stored(rows.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")))
-    links = stored(host_links(pages))
-    trust = flow(hosts.select("host", F.col("allowed").alias("seed")), links, damping, turns)
-    distrust = flow(hosts.select("host", F.col("blocked").alias("seed")), links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), damping, turns)
+    links = stored(host_links(pages, rules=rules))
+    linked = links.groupBy(F.col("dst").alias("host")).agg(*((F.sum(v) / F.sum("n")).alias(k) for v, k in (("allow", "allowed"), ("block", "blocked"))))
+    seeds = stored(hosts.unionByName(linked.where("allowed > 0 OR blocked > 0").join(hosts, "host", "left_anti")))
+    trust = flow(seeds.select("host", F.col("allowed").alias("seed")), links, damping, turns)
+    distrust = flow(seeds.select("host", F.col("blocked").alias("seed")), links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), damping, turns)
     scores = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
     scores = stored(scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     bad = F.col("distrust") - F.col("trust") >= margin * (1 - damping)

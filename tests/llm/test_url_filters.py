@@ -68,3 +68,18 @@ def test_distrust_reaches_who_links_to_blocked_hosts(spark):
     got = {r.host: (r.verdict, r.distrust > 0) for r in U.judge(df).collect()}
     assert got["hub.test"] == ("block", True) and got["f0.test"][1]
     assert Counter((r.host, r.path, r.rule, r.verdict) for r in U.judge(df).collect()) == plain(farm)
+
+
+def test_linked_hosts_without_pages_are_judged(spark):
+    pages = [
+        ("http://a.test/", "<a href='http://spam.net/x'>x</a>"),  # blocked, not crawled
+        ("http://b.test/", "<a href='//nice.org/fr/x'>x</a>"), ("http://c.test/", "<a href='http://none.test/net/'>x</a>"),
+        ("http://d.test/", "<a href='http://example.com/de/1'></a><a href='http://example.com/fr/1'></a><a href='http://example.com/'></a>"),  # a third of the linked urls
+        ("http://e.test/", "<a href='http://far.net/'></a>"), ("http://far.net/", ""),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.host: r for r in U.judge(df).collect()}
+    assert len(got) == len(pages)
+    assert {h for h, r in got.items() if r.verdict == "block"} == {"a.test", "e.test", "far.net"}
+    assert abs(got["a.test"].distrust - 0.15 * 0.85) < 1e-9 and abs(got["d.test"].distrust - 0.15 * 0.85 / 3) < 1e-9
+    assert got["b.test"].distrust == got["c.test"].distrust == 0
