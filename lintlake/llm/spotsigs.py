@@ -6,8 +6,9 @@ so it follows the running text and not what surrounds it.  The beginning of a te
 as an anchor, so that a text without common words has a signature too.
 
 Fingerprints are compared by Jaccard similarity.  Two sets of which the smaller has fewer
-than t times the members of the larger cannot reach t, so sets are partitioned by
-length, only neighbouring partitions meet, and a comparison stops once t is out of reach.
+than t times the members of the larger cannot reach t, so ``similar`` partitions sets by
+length, only neighbouring partitions meet, and there only sets that share one of their
+rarest signatures; a comparison stops once t is out of reach.  The result is exact.
 
 The neighbour in id order is found without ordering texts in one task: ids are cut into
 ranges by quantiles, each range is sorted on its own, and the first text of the next range
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, stored
 
 CHAIN, DISTANCE = 3, 1
 PIECE = 2 * 1024 * 1024
 """Bytes that are hashed at once; a longer text is handled in pieces that end between words."""
+STEP = 256
+"""Members compared before the rest is weighed against the least likeness."""
 # common words of the four languages of the texts
 ANCHORS = (
     "a an and are as at be but by for from had has have he her his in is it its not of on or she that the their there they this to was we were which will with you "
@@ -139,13 +143,23 @@ def unpacked(fingerprint: str) -> np.ndarray:
 
 
 def jaccard(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard similarity of two ascending sets; 0 where their lengths already keep it below ``least``."""
-    small, large = sorted((len(x), len(y)))
+    """Jaccard similarity of two ascending sets; 0 where their lengths, or the members seen so far, already keep it below ``least``."""
+    if len(x) > len(y):
+        x, y = y, x
+    small, large = len(x), len(y)
     if not large:
         return 1.0
     if small < least * large:
         return 0.0
-    common = len(np.intersect1d(x, y, assume_unique=True))
+    if least:
+        need, common = least / (1 + least) * (small + large) - 1e-6, 0
+        for at in range(0, small, STEP):
+            piece = x[at : at + STEP]
+            common += int((y[np.minimum(np.searchsorted(y, piece), large - 1)] == piece).sum())
+            if common + max(0, small - at - STEP) < need:
+                return 0.0
+    else:
+        common = len(np.intersect1d(x, y, assume_unique=True))
     return common / (small + large - common)
 
 
@@ -217,3 +231,51 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", column: str = "text", cha
 
     ddl = f"`{key}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs, key, column).mapInArrow(run, ddl)
+
+
+def length_bounds(longest: int, least: float) -> list[int]:
+    """First lengths of the partitions: of two sets that can reach ``least``, the partitions are the same or neighbours."""
+    out = [1]
+    while out[-1] <= longest:
+        out.append(int(out[-1] / least * (1 + 1e-12) + 1e-9) + 1)
+    return out
+
+
+def similar(docs: DataFrame, least: float, key: str = "doc_id", column: str = "text", chain: int = CHAIN, distance: int = DISTANCE) -> DataFrame:
+    """``a, b, likeness`` of all pairs of different fingerprints with a likeness of ``least`` (above 0) or more.
+
+    ``a`` and ``b`` are the least keys of the texts with these fingerprints (null if all are);
+    empty fingerprints are like no other.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "t", PIECE):
+            sigs = signatures(batch.column("t").to_pylist(), chain, distance)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([x.astype(np.int64) for x in sigs], pa.list_(pa.int64()))], names=["k", "sigs"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c) for c in ("x", "y"))
+            found = [jaccard(p.values.to_numpy(), q.values.to_numpy(), least) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "likeness"])
+
+    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(column), F.lit("")).alias("t"))
+    sets = texts.mapInArrow(sign, "k bigint, sigs array<bigint>").where(F.size("sigs") > 0).groupBy("sigs").agg(F.min("k").alias("k"))
+    # Numbers of rows hold once the rows are written.
+    sets = stored(stored(sets).select(F.monotonically_increasing_id().alias("id"), "k", "sigs", F.size("sigs").alias("n")))
+    bounds = length_bounds(sets.agg(F.max("n")).first()[0] or 0, least)
+    # Sets of likeness t share t of each one's members, so one of the first n - ceil(t * n) + 1 of each in any common order: the rarest first.
+    members = sets.select("id", "n", F.explode("sigs").alias("sig"))
+    ranked = members.join(members.groupBy("sig").agg(F.count("*").alias("df")), "sig")
+    head = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-6)).cast("int") + 1
+    rare = ranked.groupBy("id", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "sig"))), F.lit(1), head).alias("rare"))
+    part = F.udf(lambda n: bisect_right(bounds, n), "int")(F.col("n"))
+    index = stored(rare.select("id", "n", part.alias("part"), F.explode("rare.sig").alias("sig")))
+    own = index.select("part", "sig", F.col("id").alias("i"), F.col("n").alias("m"))
+    near = index.withColumn("guest", F.lit(False)).unionByName(index.select("id", "n", (F.col("part") + 1).alias("part"), "sig", F.lit(True).alias("guest")))
+    met = own.join(near, ["part", "sig"]).where(F.col("guest") | (F.col("i") > F.col("id"))).where(F.least("m", "n") >= F.lit(least) * F.greatest("m", "n") - F.lit(1e-6))
+    pairs = met.select("i", "id").distinct()
+    x, y = (sets.select(F.col("id").alias(i), F.col("k").alias(k), F.col("sigs").alias(v)) for i, k, v in (("i", "a", "x"), ("id", "b", "y")))
+    told = pairs.join(x, "i").join(y, "id").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint, likeness double")
+    found, none = told.where(F.col("likeness") >= least), F.col("a").isNull() | F.col("b").isNull()
+    return found.select(F.when(none, F.lit(None)).otherwise(F.least("a", "b")).alias("a"), F.greatest("a", "b").alias("b"), "likeness")  # a null key is a

@@ -1,5 +1,6 @@
 import bisect
 import hashlib
+import random
 import re
 
 from lintlake.llm import spotsigs as S
@@ -60,3 +61,32 @@ def test_pruning():
 
     a, b = np.arange(10, dtype=np.uint32), np.arange(4, dtype=np.uint32)
     assert S.jaccard(a, b) == 0.4 and S.jaccard(a, b, 0.5) == 0.0 and S.jaccard(a[:0], b[:0]) == 1.0 and S.jaccard(a, b[:0]) == 0.0
+
+
+def test_similar_pairs_against_all_pairs(spark, none):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)] + ["the", "of", "to"] * 12
+    texts = []
+    for _ in range(25):
+        text = [rng.choice(words) for _ in range(rng.choice((3, 12, 60, 300)))]
+        for _ in range(4):
+            texts.append(" ".join(text))
+            text = [rng.choice(words) if rng.random() < 0.04 else w for w in text][: len(text) - rng.randint(0, len(text) // 5)]
+    texts += [texts[0], "", None]
+    sets, first = [plain(t) for t in texts], {}
+    for i, x in enumerate(sets):
+        first.setdefault(frozenset(x), i)
+    pairs = [(a, b, likeness(sets[a], sets[b])) for a in first.values() for b in first.values() if a < b and sets[a] and sets[b]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    for least in (0.3, 0.8):
+        want = {(a, b, round(x, 9)) for a, b, x in pairs if x >= least}
+        got = [(r.a, r.b, round(r.likeness, 9)) for r in S.similar(df, least).collect()]
+        assert len(want) > 5 and len(got) == len(set(got)) and set(got) == want
+    assert S.similar(none, 0.5).collect() == []
+
+
+def test_length_partitions():
+    for least in (0.1, 0.3, 0.5, 0.7, 0.8, 0.9, 1.0):
+        bounds = S.length_bounds(500, least)
+        part = [bisect.bisect_right(bounds, n) for n in range(501)]
+        assert all(part[y] - part[x] <= 1 for x in range(1, 501) for y in range(x, 501) if x >= least * y)
