@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, quality, secrets, sharding, simhash, spotsigs, toxicity, url_filters
+from . import bpe, decontaminate, html_text, periodic, quality, secrets, sharding, simhash, spelling, spotsigs, suffix_tree, toxicity, url_filters
 from .common import read
+from .labelled import held_out
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document."""
+    docs, kept = read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2)
+    told = suffix_tree.score(docs, ~kept)
+    return told.select("doc_id", kept.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: of every tenth document by CRC-32, the words from some place on repeat with a period that follows from the id."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    rows = rows.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.expr("(n - a) div (3 + g % 8)"))
+    tail = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.element_at("w", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int")))
+    spun = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a").cast("int")), tail)
+    return rows.select("doc_id", F.when(F.col("n") > 0, spun).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document."""
+    return periodic.digests(periodic.periodic(_with_repeats(read(spark, sf_dir, "documents"))))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent enough word of the documents."""
+    runs = spelling.runs_of_letters(read(spark, sf_dir, "documents"), 7)
+    words = spelling.with_typos(runs, 31).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling.variants(words.where((F.char_length("word") >= 7) & (F.col("n") >= 2)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of what the corpus pipeline keeps."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -82,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_suffix_tree": op11_suffix_tree,
+    "op12_periodic": op12_periodic,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
