@@ -1,14 +1,19 @@
 """Language-model scoring with a probabilistic suffix tree over the bytes of words.
 
-A text is its words, A-Z lower-cased, with one space between them and an end mark; its
-symbols are those bytes, so every text has a probability, words never seen included.  The
-state of a place is a suffix of the bytes before it, of ``DEPTH`` bytes at most.  A context
-is a state if the symbols that follow it diverge from those of its parent (the context
-without its oldest byte): the gain in log-likelihood over the parent's distribution must
-reach ``GAIN``.  A state's distribution is smoothed with its parent's in the ratio of its
-count to its number of distinct symbols; a context that is no state has its parent's
-distribution, so a place is scored by the longest suffix that is a state.  The root is
-smoothed with the uniform distribution over bytes.
+A text is its words, A-Z lower-cased, each followed by a space, and an end mark; the symbols
+of the tree are those bytes, so that a state can begin inside a word.  The state of a place
+is a suffix of the bytes before it, of ``DEPTH`` bytes at most.  A context is a state if the
+symbols that follow it diverge from those of its parent (the context without its oldest
+byte): the gain in log-likelihood over the parent's distribution must reach ``GAIN``.  A
+state's distribution is smoothed with its parent's in the ratio of its count to its number
+of distinct symbols; a context that is no state has its parent's distribution, so a place is
+scored by the longest suffix that is a state.  The root is smoothed with the uniform
+distribution over bytes.
+
+The outcomes of the model are tokens, as in the base score: the words that occur in training
+texts, the end, and one outcome for all other words.  That one has the mass V / (N + V), of V
+distinct among N training tokens; the rest is shared by the tree (the product over a
+token's bytes, with its space) and the token's own frequency, in the ratio ``MIX``.
 
 The tree is a table, not an object: every level is grouped from the next deeper one, and
 joined with its parents.  Texts are taken in blocks of bounded size; a block sends each
@@ -22,7 +27,7 @@ given: its tokens are the words and the end.
 
 Defined cases: null and empty texts, and texts of white space, are the end alone; rows
 that repeat an id keep their rows; rows without a training mark are scored only; without
-any training text all bytes are equally likely.
+any training text every token is the outcome of unknown words, of probability 1.
 """
 
 from __future__ import annotations
@@ -42,6 +47,8 @@ DEPTH = 5
 """Bytes of the longest contexts (6 at most)."""
 GAIN = 2.0
 """Least gain in log-likelihood (nats) of a state over its parent."""
+MIX = 0.5
+"""Share of the tree in the probability of a known token; the rest goes by the token's own frequency."""
 BLOCK = 48 * 1024 * 1024
 """Bytes of the texts of a block."""
 PIECE = 2 * 1024 * 1024
@@ -50,8 +57,8 @@ END = b"\n"
 
 
 def body(text: str | None) -> bytes:
-    """The symbols of a text: words, joined by one space, and the end mark."""
-    return b" ".join((text or "").encode().lower().split()) + END  # of bytes: A-Z, and the six ASCII white-space characters
+    """The symbols of a text: words, each with a space, and the end mark."""
+    return b" ".join([*(text or "").encode().lower().split(), END])  # of bytes: A-Z, and the six ASCII white-space characters
 
 
 def bodies(docs: DataFrame, train: Column, key: str, column: str) -> DataFrame:
@@ -191,7 +198,7 @@ def tree(grams: DataFrame, depth: int = DEPTH, gain: float = GAIN) -> DataFrame:
     return told
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", column: str = "text", depth: int = DEPTH, gain: float = GAIN) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", column: str = "text", depth: int = DEPTH, gain: float = GAIN, mix: float = MIX) -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` of every row; ``train`` marks the rows that are learned from.
 
     A text's tokens are its words and the end.  ``n_known`` counts those that occur in training texts, of which there are
@@ -205,6 +212,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", column: str = "te
     sums = words.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     tokens, kinds = sums["n"] or 0, sums["v"]
     below = float(np.log10(tokens + kinds + 1))
+    unknown, rest = (float(np.log10(x / (tokens + kinds))) if tokens else 0.0 for x in (kinds, tokens))
 
     none = F.lit(None)
     about_grams = sent.select("block", "gram").join(probable, "gram").select(
@@ -228,7 +236,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", column: str = "te
                     logs.append(part.column("x").to_numpy())
                     continue
                 if kind[a] == 1:
-                    known.update(zip(part.column("w").to_pylist(), (np.log10(part.column("x").to_numpy() + 1) - below).tolist()))
+                    known.update(zip(part.column("w").to_pylist(), part.column("x").to_pylist()))
                     continue
                 if not ready:
                     keys, values = np.concatenate(grams), np.concatenate(logs)
@@ -237,15 +245,20 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", column: str = "te
                 for piece in blocks(iter([part.select(["key", "w"])]), "w", PIECE):
                     data, cuts = text_bytes(piece.column("w"))
                     place = np.searchsorted(keys, windows(data, cuts, depth).view(np.int64))
-                    told = np.add.reduceat(values[place], cuts[:-1])
-                    n, found, base = [], [], []
+                    counts, sizes, of_end = [], [], known.get(END, 0.0)
                     for t in piece.column("w").to_pylist():
-                        got = [known.get(w) for w in t.split()]
-                        got.append(known.get(END))
-                        hits = [v for v in got if v is not None]
-                        n.append(len(got))
-                        found.append(len(hits))
-                        base.append(sum(hits) - below * (len(got) - len(hits)))
+                        words_ = t.split()
+                        counts += [known.get(w, 0.0) for w in words_]
+                        counts.append(of_end)
+                        sizes.append(len(words_) + 1)
+                    first = np.cumsum([0, *sizes])[:-1]  # of the tokens of each text
+                    starts = np.flatnonzero((data == 32) | (data == END[0])) + 1  # of the tokens, in bytes, but for the first
+                    by_tree = np.add.reduceat(values[place], np.concatenate([[0], starts[:-1]]))
+                    c = np.array(counts)
+                    seen = c > 0
+                    mixed = mix * 10.0 ** by_tree + (1 - mix) * c / max(tokens, 1)
+                    told = np.add.reduceat(np.where(seen, np.log10(np.where(seen, mixed, 1.0)) + rest, unknown), first)
+                    n, found, base = sizes, np.add.reduceat(seen.astype(np.int64), first), np.add.reduceat(np.log10(c + 1) - below, first)
                     yield pa.RecordBatch.from_arrays(
                         [piece.column("key"), pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array([tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(told)],
                         names=["key", *names])
