@@ -16,9 +16,9 @@ distinct among N training tokens; the rest is shared by the tree (the product ov
 token's bytes, with its space) and the token's own frequency, in the ratio ``MIX``.
 
 The tree is a table, not an object: every level is grouped from the next deeper one, and
-joined with its parents.  Texts are taken in blocks of bounded size; a block sends each
-distinct context with its symbol once, with the count in its training texts, and gets its
-probability back, as with its distinct words and their counts.  So what is gathered grows
+joined with its parents.  Texts are packed once and taken in blocks of bounded size; a
+block sends each distinct context with its symbol once, with the count in its training
+texts, and gets its probability back, as with its distinct words and their counts.  So what is gathered grows
 with the corpus, shuffles carry distinct keys of blocks instead of places, and no task,
 broadcast or driver holds the tree.
 
@@ -49,10 +49,10 @@ GAIN = 2.0
 """Least gain in log-likelihood (nats) of a state over its parent."""
 MIX = 0.5
 """Share of the tree in the probability of a known token; the rest goes by the token's own frequency."""
-BLOCK = 48 * 1024 * 1024
+BLOCK = 64 * 1024 * 1024
 """Bytes of the texts of a block."""
-PIECE = 2 * 1024 * 1024
-"""Bytes whose contexts are sorted at once."""
+PIECE = 1024 * 1024
+"""Bytes of texts that are packed, and sorted, at once (a longer text is a piece of its own)."""
 END = b"\n"
 
 
@@ -61,22 +61,38 @@ def body(text: str | None) -> bytes:
     return b" ".join([*(text or "").encode().lower().split(), END])  # of bytes: A-Z, and the six ASCII white-space characters
 
 
-def bodies(docs: DataFrame, train: Column, key: str, column: str) -> DataFrame:
-    """``key, train, block, body`` of all rows, written once, so that a row's block holds."""
+def packed(docs: DataFrame, train: Column, key: str, column: str) -> DataFrame:
+    """All rows, some to a piece, with their symbols compressed; written once, and read in partitions that make blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 24, 0
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", PIECE):
             made = [body(t) for t in batch.column("text").to_pylist()]
-            size = sum(map(len, made))
+            data = b"".join(made)
+            edge = pa.array([0, len(made)], pa.int32())
+            listed = [pa.ListArray.from_arrays(edge, x) for x in (batch.column("key"), batch.column("train"), pa.array(list(map(len, made)), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*listed, pa.array([len(data)]), pa.array([pa.compress(data, "zstd", asbytes=True)], pa.binary())], names=["keys", "marks", "sizes", "size", "data"])
+
+    plain = docs.select(F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(column).alias("text"))
+    kind = plain.schema["key"].dataType.simpleString()
+    table = written(plain.mapInArrow(run, f"keys array<{kind}>, marks array<boolean>, sizes array<bigint>, size bigint, data binary"))
+    return table.coalesce((table.agg(F.sum("size")).first()[0] or 0) // BLOCK + 1)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of ``packed`` one by one with the block each belongs to, which is the same whenever they are read."""
+    block, held = TaskContext.get().partitionId() << 24, 0
+    for batch in batches:
+        for i, size in enumerate(batch.column("size").to_pylist()):
             if held and held + size > BLOCK:
                 block, held = block + 1, 0
             held += size
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("train"), pa.array(np.full(len(made), block)), pa.array(made, pa.binary())], names=["key", "train", "block", "body"])
+            yield block, batch.slice(i, 1)
 
-    plain = docs.select(F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(column).alias("text"))
-    return written(plain.mapInArrow(run, with_fields(["key", "train"], plain.schema, block="bigint", body="binary")))
+
+def unpacked(row: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
+    """The symbols of a row's texts, and where they start (and the last one ends)."""
+    cuts = np.concatenate([[0], np.cumsum(row.column("sizes")[0].values.to_numpy())])
+    return pa.decompress(row.column("data")[0].as_py(), int(cuts[-1]), "zstd", asbytes=True), cuts
 
 
 def windows(data: np.ndarray, cuts: np.ndarray, depth: int) -> np.ndarray:
@@ -100,20 +116,6 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray
     return [(keys[first], np.add.reduceat(n, first))]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.Array]]:
-    """Block, training mark and bodies of pieces of at most ``PIECE`` bytes (or one text), blocks in turn."""
-    for batch in batches:
-        for mark in (True, False):
-            part = batch.filter(pa.compute.equal(batch.column("train"), mark))
-            if not part.num_rows:
-                continue
-            own = part.column("block").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-            for a, b in zip(edges, edges[1:]):
-                for piece in blocks(iter([part.select(["body"]).slice(a, b - a)]), "body", PIECE):
-                    yield int(own[a]), mark, piece.column("body")
-
-
 def contexts(table: DataFrame, depth: int) -> DataFrame:
     """``block, gram, n``: the distinct windows of each block, and how often they occur in its training texts (0: in others only)."""
 
@@ -123,19 +125,23 @@ def contexts(table: DataFrame, depth: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), pa.array(grams.view(np.int64)), pa.array(n)], names=["block", "gram", "n"])
 
         now, parts = None, []
-        for block, mark, texts in _runs(batches):
+        for block, row in pieces(batches):
             if parts and block != now:
                 yield told(now, parts)
                 parts = []
             now = block
-            grams, n = np.unique(windows(*text_bytes(texts), depth), return_counts=True)
-            parts.append((grams, n.astype(np.int64) * mark))
+            data, cuts = unpacked(row)
+            found = windows(np.frombuffer(data, np.uint8), cuts, depth)
+            learn = np.repeat(np.array(row.column("marks")[0].as_py()), np.diff(cuts))
+            for mark in (True, False):
+                grams, n = np.unique(found[learn == mark], return_counts=True)
+                parts.append((grams, n.astype(np.int64) * mark))
             if sum(len(p[0]) for p in parts[1:]) > max(1 << 20, len(parts[0][0])):
                 parts = _merged(parts)
         if parts:
             yield told(now, parts)
 
-    return table.select("train", "block", "body").mapInArrow(run, "block bigint, gram bigint, n bigint")
+    return table.select("marks", "sizes", "size", "data").mapInArrow(run, "block bigint, gram bigint, n bigint")
 
 
 def word_counts(table: DataFrame) -> DataFrame:
@@ -147,22 +153,24 @@ def word_counts(table: DataFrame) -> DataFrame:
                 [pa.array(np.full(len(counts), block)), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["block", "word", "n"])
 
         now, counts = None, Counter()
-        for block, mark, texts in _runs(batches):
+        for block, row in pieces(batches):
             if counts and block != now:
                 yield told(now, counts)
                 counts = Counter()
             now = block
-            pieces = texts.to_pylist()
-            if mark:
-                counts[END] += len(pieces)
-                counts.update(w for t in pieces for w in t.split())
-            else:
-                for w in {END, *(w for t in pieces for w in t.split())}:
-                    counts.setdefault(w, 0)
+            data, cuts = unpacked(row)
+            for a, b, mark in zip(cuts.tolist(), cuts[1:].tolist(), row.column("marks")[0].as_py()):
+                words = data[a:b].split()
+                if mark:
+                    counts.update(words)
+                    counts[END] += 1
+                else:
+                    for w in (*words, END):
+                        counts.setdefault(w, 0)
         if counts:
             yield told(now, counts)
 
-    return table.select("train", "block", "body").mapInArrow(run, "block bigint, word binary, n bigint")
+    return table.select("marks", "sizes", "size", "data").mapInArrow(run, "block bigint, word binary, n bigint")
 
 
 def _recent(gram: Column, places: int) -> Column:
@@ -204,12 +212,13 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", column: str = "te
     A text's tokens are its words and the end.  ``n_known`` counts those that occur in training texts, of which there are
     ``train_tokens``; ``score`` and ``base_score`` are log10 probabilities.
     """
-    table = bodies(docs, train, key, column)
+    table = packed(docs, train, key, column)
     sent = written(contexts(table, depth))
     probable = tree(sent.select("gram", "n"), depth, gain)
-    asked = written(word_counts(table))
-    words = stored(asked.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
-    sums = words.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
+    # One shuffle by word: each block's rows keep their place beside the sum over all blocks.
+    alike = Window.partitionBy("word")
+    asked = written(word_counts(table).select("block", "word", F.sum("n").over(alike).alias("c"), (F.col("block") == F.min("block").over(alike)).alias("first")).where("c > 0"))
+    sums = asked.where("first").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     tokens, kinds = sums["n"] or 0, sums["v"]
     below = float(np.log10(tokens + kinds + 1))
     unknown, rest = (float(np.log10(x / (tokens + kinds))) if tokens else 0.0 for x in (kinds, tokens))
@@ -217,9 +226,15 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", column: str = "te
     none = F.lit(None)
     about_grams = sent.select("block", "gram").join(probable, "gram").select(
         "block", F.lit(0).alias("kind"), F.col("gram").alias("a"), F.log10("p").alias("x"), none.cast("binary").alias("w"))
-    about_words = asked.select("block", "word").join(words, "word").select(
+    about_words = asked.select(
         "block", F.lit(1).alias("kind"), none.cast("bigint").alias("a"), F.col("c").cast("double").alias("x"), F.col("word").alias("w"))
-    texts = table.select("block", F.lit(2).alias("kind"), none.cast("bigint").alias("a"), none.cast("double").alias("x"), F.col("body").alias("w"), F.col("key"))
+
+    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, row in pieces(batches):
+            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("keys", "sizes")), pa.array([block]), row.column("data")], names=["keys", "sizes", "block", "w"])
+
+    listed = with_fields(["keys", "sizes"], table.schema, block="bigint", w="binary")
+    texts = table.mapInArrow(tagged, listed).select("block", F.lit(2).alias("kind"), none.cast("bigint").alias("a"), none.cast("double").alias("x"), "w", "keys", "sizes")
     rows = texts.unionByName(about_grams.unionByName(about_words), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +257,17 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", column: str = "te
                     keys, values = np.concatenate(grams), np.concatenate(logs)
                     order = np.argsort(keys, kind="stable")
                     keys, values, ready = keys[order], values[order], True
-                for piece in blocks(iter([part.select(["key", "w"])]), "w", PIECE):
-                    data, cuts = text_bytes(piece.column("w"))
+                for i in range(part.num_rows):
+                    row = part.slice(i, 1).rename_columns([{"w": "data"}.get(c, c) for c in part.schema.names])
+                    text, cuts = unpacked(row)
+                    data = np.frombuffer(text, np.uint8)
                     place = np.searchsorted(keys, windows(data, cuts, depth).view(np.int64))
                     counts, sizes, of_end = [], [], known.get(END, 0.0)
-                    for t in piece.column("w").to_pylist():
-                        words_ = t.split()
-                        counts += [known.get(w, 0.0) for w in words_]
+                    for start, end in zip(cuts.tolist(), cuts[1:].tolist()):
+                        words = text[start:end].split()
+                        counts += [known.get(w, 0.0) for w in words]
                         counts.append(of_end)
-                        sizes.append(len(words_) + 1)
+                        sizes.append(len(words) + 1)
                     first = np.cumsum([0, *sizes])[:-1]  # of the tokens of each text
                     starts = np.flatnonzero((data == 32) | (data == END[0])) + 1  # of the tokens, in bytes, but for the first
                     by_tree = np.add.reduceat(values[place], np.concatenate([[0], starts[:-1]]))
@@ -260,10 +277,11 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", column: str = "te
                     told = np.add.reduceat(np.where(seen, np.log10(np.where(seen, mixed, 1.0)) + rest, unknown), first)
                     n, found, base = sizes, np.add.reduceat(seen.astype(np.int64), first), np.add.reduceat(np.log10(c + 1) - below, first)
                     yield pa.RecordBatch.from_arrays(
-                        [piece.column("key"), pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array([tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(told)],
+                        [row.column("keys")[0].values, pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array([tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(told)],
                         names=["key", *names])
 
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    ddl = with_fields(["key"], rows.schema, n_tokens="bigint", n_known="bigint", train_tokens="bigint", base_score="double", score="double")
+    kind = docs.schema[key].dataType.simpleString()
+    ddl = f"key {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     done = rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, ddl)
     return done.select(F.col("key").alias(key), *names)

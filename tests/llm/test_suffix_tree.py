@@ -87,7 +87,7 @@ def test_equals_a_plain_tree(spark, depth, gain):
 def test_outcomes_share_one(spark):
     """Over all texts of one token after a given one: known words, the unknown one and the end."""
     docs = spark.createDataFrame([(1, "ab abc b"), (2, "abc abc cab"), (3, "")], "doc_id bigint, text string")
-    told = suffix_tree.tree(suffix_tree.contexts(suffix_tree.bodies(docs, F.lit(True), "doc_id", "text"), 2).select("gram", "n"), 2, 0.0).collect()
+    told = suffix_tree.tree(suffix_tree.contexts(suffix_tree.packed(docs, F.lit(True), "doc_id", "text"), 2).select("gram", "n"), 2, 0.0).collect()
     by_context = {}
     for r in told:
         by_context[r.gram >> 8] = by_context.get(r.gram >> 8, 0) + r.p
