@@ -17,6 +17,7 @@ from ..rules import profile_rules
 from ..sources.readers import decode_payloads, read_table, scan_directory, tree_blobs
 from ..sources.sinks import report_documents, write_files, write_findings, write_report_json
 from ..streaming import audit_stream as ST
+from ..streaming import reaudit as RA
 from . import oracle as O
 from .corpus import corpus, inventory
 from .snippets import SNIPPETS
@@ -392,3 +393,31 @@ _add("stream_progress", lambda s, d: ST.progress(ST.observed(_arriving(s, d)).se
      f"WITH {_CHAT[1]} SELECT count(*) AS files, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS lines FROM files")
 _add("stream_counts", lambda s, d: ST.drain(ST.running_counts(ST.stream_findings(ST.observed(_arriving(s, d)))), "complete"),
      _chat_sql("SELECT repo, type, severity, count(*) AS count FROM found GROUP BY ALL"))
+
+
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    """Every conversation as a file of which each turn is a version."""
+    turns = ST.read_files(s, d, "conv_id bigint, turn bigint, role string, text string", pathGlobFilter="conversations.parquet")
+    return turns.select(
+        F.concat(F.lit("chat"), (F.col("conv_id") % 5).cast("string")).alias("repo"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"),
+        F.col("turn").alias("version"), F.concat("text", F.lit("\n# TODO: if asked for turn "), F.col("turn").cast("string"), F.lit("\n")).alias("content"))
+
+
+_LAST = ("files AS (SELECT 'chat' || (conv_id % 5) AS repo, 'c' || conv_id || '.md' AS path, text || chr(10) || '# TODO: if asked for turn ' || turn || chr(10) AS content "
+         "FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)")
+
+
+def _last_sql(query: str, more: list[str] | tuple[str, ...] = ()) -> str:
+    ctes = [_LAST if c.startswith("files AS") else c for c in [*O.found_ctes("extended"), *more]]
+    return O.with_(ctes, query, recursive=True)
+
+
+def reaudited(s: SparkSession, d: str) -> DataFrame:
+    """What is left of all additions and retractions."""
+    changes = s.read.schema(RA.CHANGES).parquet(RA.landed_changes(_versions(s, d)))
+    left = RA.signed_findings(changes).groupBy(*FINDING).agg(F.sum("sign").alias("n"))
+    return left.where("n <> 0").select(*FINDING)
+
+
+_add("stream_reaudit", reaudited, _last_sql("SELECT repo, rule_id, type, severity, title, description, file, line FROM found"))
+_add("stream_scores", lambda s, d: ST.drain(RA.running_scores(RA.read_changes(s, RA.landed_changes(_versions(s, d)))), "complete"), _last_sql("SELECT * FROM report", _REPORT))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,22 +77,33 @@ def repo_report(audited: DataFrame, rules: list[Rule], profile: str = "extended"
     partial row per task and repository, however large a repository is.
     ``selected`` gives the files that were chosen but may not have been readable.
     """
+    kinds, code = hit_kinds(rules)
+    per_file = audited.select("repo", F.size("lines").alias("n"), F.transform("hits", lambda h: code(h["rix"])).alias("kinds"))
+    counted = per_file.select("repo", F.lit(1).alias("files"), "n", *[
+        F.size(F.filter("kinds", _equals(c))).alias(f"{t}_{s}")
+        for c, (t, s) in enumerate(kinds)])
+    return report_of_counters(counted, kinds, profile, selected)
+
+
+def hit_kinds(rules: list[Rule]) -> tuple[list[tuple[str, str]], Callable[[Column], Column]]:
+    """The (type, severity) pairs of some rules, and the place of a rule number's pair among them."""
     kinds = [(t, s) for t in CAPS for s in SEVERITIES if any(r.type == t and r.severity == s for r in rules)]
     codes = [-1] * (max(r.rix for r in rules) + 1)
     for r in rules:
         codes[r.rix] = kinds.index((r.type, r.severity))
     table = F.array(*map(F.lit, codes))
-    per_file = audited.select("repo", F.size("lines").alias("n"), F.transform("hits", lambda h: F.get(table, h["rix"])).alias("kinds"))
-    counted = per_file.select("repo", "n", *[
-        F.size(F.filter("kinds", _equals(c))).alias(f"{t}_{s}")
-        for c, (t, s) in enumerate(kinds)])
+    return kinds, lambda rix: F.get(table, rix)
+
+
+def report_of_counters(counted: DataFrame, kinds: list[tuple[str, str]], profile: str = "extended", selected: DataFrame | None = None) -> DataFrame:
+    """The report of ``repo_report`` from rows of ``repo, files, n`` (lines) and a counter per kind, which may be negative where something is taken back."""
 
     def total(*pick: str) -> Column:
         cols = [F.col(f"{t}_{s}") for t, s in kinds if t in pick or s in pick]
         return sum(cols[1:], cols[0]) if cols else F.lit(0)
 
     stats = counted.groupBy("repo").agg(
-        F.count("*").alias("analyzed_files"), F.sum("n").cast("bigint").alias("analyzed_lines"),
+        F.sum("files").cast("bigint").alias("analyzed_files"), F.sum("n").cast("bigint").alias("analyzed_lines"),
         *[F.sum(f"{t}_{s}").cast("bigint").alias(f"{t}_{s}") for t, s in kinds])
     for t in CAPS:
         parts = [F.col(f"{t}_{s}") * POINTS[s] for s in SEVERITIES if (t, s) in kinds]

@@ -68,9 +68,9 @@ def first_wins(hits: Column) -> Column:
 
 def audit_files(
     files: DataFrame, profile: str = "extended", groups: tuple[str, ...] | None = None,
-    rules: list[Rule] | None = None, select: bool = True,
+    rules: list[Rule] | None = None, select: bool = True, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per analyzed file with its deduplicated hits.
+    """One row per analyzed file with its deduplicated hits, and further columns of the files to ``keep``.
 
     ``files`` has ``repo, path, content`` with one row per (repo, path).  Reducing to
     some rule groups also reduces the work to them.  Count or explode ``hits``; a filter on
@@ -81,9 +81,9 @@ def audit_files(
     ready = prepare(classify_language(chosen, profile))
     # Sorting puts equal (line, title) side by side, earliest first.
     found = ready.select(
-        "repo", "path", "language", "family", "content", "lines", F.sort_array(hits_column(tuple(rules))).alias("sorted"))
+        "repo", "path", "language", "family", "content", "lines", *keep, F.sort_array(hits_column(tuple(rules))).alias("sorted"))
     return found.select(
-        "repo", "path", "language", "family", "content", "lines", first_wins(F.col("sorted")).alias("hits"))
+        "repo", "path", "language", "family", "content", "lines", *keep, first_wins(F.col("sorted")).alias("hits"))
 
 
 HIT_FIELDS = ("line", "tkey", "ord", "seq", "rix", "a", "b", "text")
@@ -98,8 +98,8 @@ def _fill(template: Column) -> Column:
     return F.replace(out, F.lit("{a}"), F.coalesce("a", F.lit("{a}")))
 
 
-def explode_hits(audited: DataFrame, rules: list[Rule], context: bool = False) -> DataFrame:
-    """Findings, one row each; ``context`` adds the code lines around them."""
+def explode_hits(audited: DataFrame, rules: list[Rule], context: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings, one row each; ``context`` adds the code lines around them, ``keep`` further columns of the audit."""
     spark = audited.sparkSession
     # The outer form, then a test on its output: for the inner one the optimizer infers
     # "array not empty" and pushes it below, which evaluates all rules once more.
@@ -111,9 +111,9 @@ def explode_hits(audited: DataFrame, rules: list[Rule], context: bool = False) -
         lines = F.col("lines")
         item = F.transform("hits", lambda h: F.struct(*[h[c].alias(c) for c in HIT_FIELDS], F.when(
             h["text"].isNull(), code_context(lines, h["line"], F.get(arounds, h["rix"]))).alias("code")))
-        rows = audited.select("repo", "path", swapped(F.col("content")).alias("swapped"), F.inline_outer(item))
+        rows = audited.select("repo", "path", *keep, swapped(F.col("content")).alias("swapped"), F.inline_outer(item))
     else:
-        rows = audited.select("repo", "path", swapped(F.col("content")).alias("swapped"), F.inline_outer("hits"))
+        rows = audited.select("repo", "path", *keep, swapped(F.col("content")).alias("swapped"), F.inline_outer("hits"))
     rows = rows.where("rix IS NOT NULL")
     # characters that matching swapped out come back in what was captured
     rows = rows.withColumns({c: F.when(F.col("swapped"), F.translate(c, MARK_SUBSTITUTE, MARK)).otherwise(F.col(c)) for c in ("a", "b")})
@@ -124,7 +124,7 @@ def explode_hits(audited: DataFrame, rules: list[Rule], context: bool = False) -
         F.col("repo"), F.col("rule_id"), F.col("type"), F.col("severity"), F.col("title"),
         _fill(F.col("description")).alias("description"), F.col("path").alias("file"), F.col("line"),
         *([F.col("code")] if context else []),
-        F.col("text").alias("code_text"), suggestion.alias("suggestion"), F.col("ord"), F.col("seq"),
+        F.col("text").alias("code_text"), suggestion.alias("suggestion"), F.col("ord"), F.col("seq"), *keep,
     ]
     return named.select(*cols)
 

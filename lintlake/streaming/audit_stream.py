@@ -56,10 +56,9 @@ def run_folder(spark: SparkSession, *parts: str) -> str:
     return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), uuid.uuid4().hex, *parts])
 
 
-def drain(query_input: DataFrame, mode: str = "append") -> DataFrame:
-    """Process everything that is there, then read the result back as a batch table."""
-    spark = query_input.sparkSession
-    base = run_folder(spark)
+def land(query_input: DataFrame, mode: str = "append") -> str:
+    """Process everything that is there; the folder of the result."""
+    base = run_folder(query_input.sparkSession)
     out = f"{base}/out"
 
     if mode == "append":
@@ -69,7 +68,12 @@ def drain(query_input: DataFrame, mode: str = "append") -> DataFrame:
         q = query_input.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
     q = q.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(query_input.schema).parquet(out)
+    return out
+
+
+def drain(query_input: DataFrame, mode: str = "append") -> DataFrame:
+    """Process everything that is there, then read the result back as a batch table."""
+    return query_input.sparkSession.read.schema(query_input.schema).parquet(land(query_input, mode))
 
 
 def progress(query_input: DataFrame, name: str = "progress") -> DataFrame:
