@@ -3,12 +3,12 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from lintlake.llm import bpe, secrets, simhash, toxicity
+from lintlake.llm import toxicity
 
 from .test_bpe import plain as plain_tokens
 from .test_decontaminate import plain as plain_hits
+from .test_near_copies import groups
 from .test_secrets import plain as plain_secrets
-from .test_simhash import classes, plain_fingerprint
 
 DOC = "{} plain and harmless words number {} of a text that is long enough to be told from every other text by its shingles, you are a reader and a friend indeed {}"
 
@@ -38,10 +38,8 @@ def test_stages_against_plain_versions(spark, folder):
         if z < -0.8472978603872037:  # log(0.3 / 0.7)
             kept.append(r)
     assert {r["doc_id"] for r in rows} - {r["doc_id"] for r in kept} == {i for i in range(0, 120, 6)}
-    root = classes([plain_fingerprint(r["text"]) for r in kept])
     best = {}
-    for r in kept:
-        k = root[plain_fingerprint(r["text"])]
+    for r, k in zip(kept, groups([r["text"] for r in kept])):
         if k not in best or best[k]["doc_id"] is None or r["doc_id"] is not None and r["doc_id"] < best[k]["doc_id"]:
             best[k] = r
     bench = [(1, " ".join(f"item{k}" for k in range(14)))]
