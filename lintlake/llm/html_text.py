@@ -4,21 +4,25 @@ Markup is stripped to lines: every block element begins a line, and what stands
 header, footer, sidebar, notice, advert, form, script, style or comment leaves a blank line.
 The length of a line is its text outside links.  Lengths are summed over sliding windows of
 lines; the text begins where the sums surge from nothing and ends where they dive to nothing
-again.  Between surges and dives lie regions; the one with the most text is the main text,
-and with it every region whose highest sum comes near.  A page with text in an ``article`` or
-``main`` element tells its main text itself: all lines inside that were not left out are kept,
-no line outside, and nothing is judged by its length.
+again.  Between surges and dives lie regions, and the one with the most text is the main text.
+Where a page has ``article`` or ``main`` elements with text, the regions inside of them alone
+are compared, and the outermost element that holds the best one is the article: all its
+lines that were not left out are kept, and with it further such elements unless most of
+their text is in links, as that of teasers is.  Elsewhere every region whose highest sum
+comes near the best one's is kept too.
 
 Pages are handled where they are read; nothing is shuffled.
 
 Defined cases: null and empty pages, and pages without text, give an empty text; a missing
-end tag ends with the element around it; an unknown reference stays as it is; pages of any
+end tag ends with the element around it; a tag that another ``<`` outside quotes
+cuts off is text; an unknown reference stays as it is; pages of any
 length are handled whole; repeated rows are repeated in the result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Set
 from html import unescape
 
@@ -32,7 +36,7 @@ WINDOW = 3
 NEAR = 0.5
 """A further region counts if its highest window sum is this share of the main one's."""
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 MARKED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -54,6 +58,9 @@ PURPOSE = re.compile(
 BESIDE = re.compile(
     r"\d\w*|area|articles?|bar|block|bottom|box|btn|buttons?|col|column|container|entry|global|group|holder|icons?|inner|items?|left|links?|list|main|meta|outer|page|panel|posts?|primary|right|row|secondary|section|"
     r"side|site|text|title|top|unit|wrap|wrapper|zone|header|", re.I)
+READERS = re.compile(r"comments|commentlist|commenters?|discussion|disqus|respond|replies", re.I)
+READER = re.compile(r"comment|reply", re.I)
+BESIDE_READER = re.compile(r"users?|readers?|threads?|post|posts|reader|body|author|text|meta|form|feed|stream|guest|visitors?", re.I)
 AT_ALL = frozenset(("header", "top"))  # a purpose only as a whole class or id
 BY_NAME, BY_CLASS = 1, 2
 MOST = 0.8
@@ -67,6 +74,10 @@ def has_purpose(attributes: str) -> bool:
             if PURPOSE.fullmatch(token):
                 return True
             words = re.split("[_-]+", token)
+            # comments of readers: any word that names them, unless it tells what the element merely has
+            if words[0].lower() not in ("has", "no", "with") and (any(map(READERS.fullmatch, words)) or any(map(READER.fullmatch, words)) and all(
+                    READER.fullmatch(w) or BESIDE_READER.fullmatch(w) or BESIDE.fullmatch(w) for w in words)):
+                return True
             told = [bool(PURPOSE.fullmatch(w)) and w.lower() not in AT_ALL for w in words]
             if any(told) and all(t or BESIDE.fullmatch(w) for t, w in zip(told, words)):
                 return True
@@ -74,25 +85,27 @@ def has_purpose(attributes: str) -> bool:
 
 
 class Page:
-    """The lines of a page: text, length outside links, and whether the line is in an article."""
+    """The lines of a page: text, length outside links, and the number of the outermost article around (0: none)."""
 
     def __init__(self):
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.inside = 0
+        self.articles = 0
+        self.open: Counter[str] = Counter()
         self.doubted: dict[int, tuple[int, int, int | None]] = {}
         """Elements left out for a class or id, by place: their text outside links, that of it in an article, and the outermost such element around."""
 
     def end_line(self, blank: int = 0) -> None:
         text = " ".join(unescape("".join(self.parts)).split())
         if text:
-            self.lines.append((text, max(0, len(text) - self.linked), self.inside > 0))
+            self.lines.append((text, max(0, len(text) - self.linked), self.articles if self.inside else 0))
         self.parts, self.linked = [], 0
-        self.lines += [("", 0, self.inside > 0)] * blank
+        self.lines += [("", 0, self.articles if self.inside else 0)] * blank
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
+def lines_of(html: str) -> list[tuple[str, int, int]]:
     """The page without markup.
 
     A class or id may mislead: where no article with text is left, the element that holds it,
@@ -119,11 +132,17 @@ def read_page(html: str, kept: Set[int]) -> Page:
     out_depth = 0  # open elements that are left out
     links = 0
     doubts: list[list[int]] = []  # place, text and article text of open elements left out for a class or id
+    paragraphs: list[str] = []  # open paragraphs and articles
+    sentences = 0
     firm = mains = 0  # open elements left out for their name, and articles inside what is left out
 
     def close() -> tuple[str, int]:
-        nonlocal out_depth, links, firm, mains
+        nonlocal out_depth, links, firm, mains, sentences
         last, skipped = open_.pop()
+        page.open[last] -= 1
+        if last == "p" or last in MAIN:
+            paragraphs.pop()
+        sentences -= last in SENTENCE
         out_depth -= skipped > 0
         links -= last == "a"
         firm -= skipped == BY_NAME
@@ -137,7 +156,7 @@ def read_page(html: str, kept: Set[int]) -> Page:
         return last, skipped
 
     def in_paragraph() -> bool:
-        return next((x[0] for x in reversed(open_[-8:]) if x[0] == "p" or x[0] in MAIN), "") == "p"  # an article ends with its end tag
+        return bool(paragraphs) and paragraphs[-1] == "p"  # an article ends with its end tag
 
     while at < n:
         m = TAG.search(html, at)
@@ -156,7 +175,7 @@ def read_page(html: str, kept: Set[int]) -> Page:
         if not name:
             continue
         if m[1]:  # end tag: closes the elements opened since, if the element is open at all
-            if name not in (x[0] for x in open_):
+            if not page.open[name]:
                 if name in BLOCKS and not out_depth:
                     page.end_line()
                 continue
@@ -194,12 +213,13 @@ def read_page(html: str, kept: Set[int]) -> Page:
             skip = BY_NAME if name != "header" or not (page.inside or mains) else 0  # an article's own header has its title
         elif m[3] and name not in ("html", "body", "article", "main") and m.start() not in kept and has_purpose(m[3]):
             # a part of a sentence is no menu or notice
-            worded = name in PHRASE or name not in BLOCKS and (any(x[0] in SENTENCE for x in open_) or any(map(str.strip, page.parts)))
+            worded = name in PHRASE or name not in BLOCKS and (sentences > 0 or any(map(str.strip, page.parts)))
             skip = 0 if worded else BY_NAME if firm else BY_CLASS
         if skip and not out_depth:
             page.end_line(1)
         if name in MAIN and not out_depth:
             page.end_line(0 if page.inside else WINDOW)
+            page.articles += not page.inside
             page.inside += 1
         elif name in MAIN:
             mains += 1
@@ -209,6 +229,10 @@ def read_page(html: str, kept: Set[int]) -> Page:
         if skip == BY_CLASS:
             doubts.append([m.start(), 0, 0])
         open_.append((name, skip))
+        page.open[name] += 1
+        if name == "p" or name in MAIN:
+            paragraphs.append(name)
+        sentences += name in SENTENCE
     while open_:
         close()
     page.end_line()
@@ -242,16 +266,20 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines = lines_of(html)
-    own = [t for t, _, within in lines if t and within]
-    if own:
-        return "\n".join(own)
-    texts = [bool(t) for t, _, _ in lines]
-    found = regions([length for _, length, _ in lines], texts)
+    found = regions([length for _, length, _ in lines], [bool(t) for t, _, _ in lines])
+    inside = [r for r in found if lines[r[0]][2]]
     if not found:
         return ""
-    best = max(found, key=lambda r: (r[2], r[3], -r[0]))
+    best = max(inside or found, key=lambda r: (r[2], r[3], -r[0]))
+    if inside:
+        own, all_ = Counter(), Counter()
+        for text, length, k in lines:
+            own[k] += length
+            all_[k] += len(text)
+        kept = {k for k in own if k and own[k] * 2 > all_[k]} | {lines[best[0]][2]}
+        return "\n".join(t for t, _, k in lines if t and k in kept)
     keep = [r for r in found if r is best or r[3] >= NEAR * best[3] > 0]
-    return "\n".join(lines[k][0] for a, b, _, _ in keep for k in range(a, b + 1) if texts[k])
+    return "\n".join(t for a, b, _, _ in keep for t, _, _ in lines[a : b + 1] if t)
 
 
 def extract(pages: DataFrame, column: str = "html", length: str = "n_chars") -> DataFrame:

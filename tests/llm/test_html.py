@@ -1,6 +1,11 @@
+import random
+import time
 from collections import Counter
 
-from lintlake.llm.html_text import extract, main_text
+import pytest
+
+from lintlake.llm import html_text
+from lintlake.llm.html_text import extract, main_text, regions
 
 PAGES = [
     ("<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>One</a></li></ul></nav><!-- x --><div class=\"ad\">Buy now this.</div>"
@@ -73,3 +78,54 @@ def test_table(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert Counter((r.page_id, r.text, r.n_chars) for r in out.collect()) == Counter({(1, PAGES[0][1], len(PAGES[0][1])): 2, (None, "", 0): 1, (2, "", 0): 1})
     assert extract(df.limit(0)).collect() == []
+
+
+def plain_regions(lengths, texts):
+    """Every stretch that begins and ends with text, has no three lines without text in a row, and cannot be made longer."""
+    n, out = len(texts), []
+    for a in range(n):
+        for b in range(a, n):
+            part = texts[a : b + 1]
+            if part[0] and part[-1] and not any(not any(part[k : k + 3]) for k in range(len(part) - 2)):
+                if not any(texts[max(0, a - 3) : a]) and not any(texts[b + 1 : b + 4]):
+                    sums = [sum(lengths[k : min(k + 3, b + 1)]) for k in range(a, b + 1)]
+                    out.append((a, b, sum(lengths[a : b + 1]), max(sums)))
+    return out
+
+
+def test_windows_against_plain_ones():
+    rng = random.Random(2)
+    for _ in range(300):
+        lengths = [rng.choice((0, 0, 0, 0, 1, 5, 40)) for _ in range(rng.randrange(0, 30))]
+        texts = [x > 0 or rng.random() < 0.1 for x in lengths]
+        assert regions(lengths, texts) == plain_regions(lengths, texts)
+
+
+def test_windows_decide_on_every_page(monkeypatch):
+    page = "<article><h1>Head</h1><p>Some text of it.</p></article><p>Out</p>"
+    assert main_text(page) == "Head\nSome text of it."
+    monkeypatch.setattr(html_text, "regions", lambda *_: [])
+    assert main_text(page) == ""
+
+
+def test_comments_and_teasers_of_an_article():
+    body = "<p>A comment on the text, with words.</p><p>More of it.</p>"
+    want = ["A comment on the text, with words.", "More of it."]
+    for name in ("user-comments-list", "post-comment-thread", "comments", "reply-box", "reader-comment", "disqus_thread"):
+        assert main_text(f"<article>{body}<section class='{name}'><p>I think so too, and say it at length.</p></section></article>").split("\n") == want, name
+    for name in ("has-comments", "comment-free-zone-essay", "commentary"):
+        assert main_text(f"<article><section class='{name}'>{body}</section></article>").split("\n") == want, name
+    river = "".join(f"<article><h3><a href=/{i}>Teaser {i}</a></h3></article>" for i in range(20))
+    assert main_text(f"<div>{river}</div><main>{body}</main>").split("\n") == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "</b>" * 200_000, "<div>" * 50_000 + "</i>" * 50_000, "<a x='" * 150_000, "<p><b>" * 30_000 + "x"], ids=range(5))
+def test_hard_pages_take_linear_time(page):
+    began = time.monotonic()
+    main_text(page)
+    assert time.monotonic() - began < 20
+
+
+def test_markup_deep_in_a_paragraph():
+    deep = "<i>" * 30
+    assert main_text(f"<p>one {deep}two<div>three</div>") == "one two\nthree"
