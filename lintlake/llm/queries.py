@@ -164,19 +164,29 @@ hosts AS (
   SELECT host, sum(CASE WHEN verdict = 'allow' THEN 1 ELSE 0 END) / count(*) AS allowed, sum(CASE WHEN verdict = 'block' THEN 1 ELSE 0 END) / count(*) AS blocked
   FROM judged GROUP BY host),
 targets AS (
-  SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:https?:)?//([^"''\s>]+)', 1)) AS t FROM rows_),
-pairs AS (SELECT src, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM targets),
+  SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^<>]*?href\s*=\s*["'']?\s*(?:https?:)?//([^"''\s>]+)', 1)) AS t FROM rows_),
+pairs AS (
+  SELECT src, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM targets),
 links AS (SELECT src, dst, count(*) AS n FROM pairs WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
 fwd AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM links),
-bwd AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share FROM links),
-t0 AS (SELECT host, allowed * 0.15 AS r FROM hosts), d0 AS (SELECT host, blocked * 0.15 AS r FROM hosts)"""
+bwd AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY src) AS share FROM links),
+away AS (
+  SELECT dst, path, row_number() OVER () AS k FROM pairs WHERE src <> dst AND src <> '' AND dst <> '' AND dst NOT IN (SELECT host FROM hosts)),
+away_rule AS (
+  SELECT k, arg_max(rverdict, length(text)) AS v FROM away JOIN rules ON (dst = rhost OR ends_with(dst, '.' || rhost)) AND starts_with(path, rpath) GROUP BY k),
+seeds AS (
+  SELECT * FROM hosts UNION ALL
+  SELECT dst, sum(CASE WHEN v = 'allow' THEN 1 ELSE 0 END) / count(*), sum(CASE WHEN v = 'block' THEN 1 ELSE 0 END) / count(*)
+  FROM away LEFT JOIN away_rule USING (k) GROUP BY dst),
+t0 AS (SELECT host, allowed * 0.15 AS r FROM seeds), d0 AS (SELECT host, blocked * 0.15 AS r FROM seeds)"""
     for i in range(1, turns + 1):
         for name, edges in (("t", "fwd"), ("d", "bwd")):
             head += f""",
 {name}{i} AS (SELECT host, sum(r) AS r FROM (
   SELECT host, r FROM {name}0 UNION ALL SELECT dst, r * share * 0.85 FROM {name}{i - 1} JOIN {edges} ON host = src) GROUP BY host)"""
     return head + f"""
-SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN d.r - t.r >= 0.5 * 0.15 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN d.r - t.r >= 0.75 * 0.15 THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j JOIN t{turns} t ON j.host = t.host JOIN d{turns} d ON j.host = d.host
 """
 

@@ -4,12 +4,15 @@ A rule is a host and the beginning of a path; it fits the host and its subdomain
 longest rule that fits decides.  Urls without a rule are judged by their host: links
 between hosts form a graph, trust flows along the links from hosts whose pages rules
 allow, distrust flows against them from hosts whose pages rules block (who links to blocked
-hosts is distrusted), both as personalised PageRank.  A host is a seed by the share of its
+hosts is distrusted), both as personalised PageRank with the same weights, the shares of a
+host's links.  So distrust tells how much of its links a host gives to blocked hosts, and
+a blocked host with a thousand linkers reaches each of them as it would reach one.  A host is a seed by the share of its
 pages that rules allow or block, so a host blocked in one directory alone is no full seed.
 Of a host that is linked but has no pages here, as is common for blocked ones, the linked
 urls are judged in place of pages.
-A host is blocked if its distrust exceeds its trust by half of what a wholly blocked host
-has of its own.
+A host is blocked if its distrust exceeds its trust by three quarters of what a wholly
+blocked host has of its own: one that links to such hosts alone has 0.85 of it, one that
+links to those linkers alone 0.72.
 
 The graph is one of hosts: links are counted per pair of hosts before any shuffle, and a
 turn moves one row per pair.  Every turn is written to the checkpoint folder.  A host with
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored
 
-DAMPING, TURNS, MARGIN = 0.85, 10, 0.5
+DAMPING, TURNS, MARGIN = 0.85, 10, 0.75
 
 
 @dataclass(frozen=True)
@@ -72,7 +75,7 @@ def fitting(rules: tuple[Rule, ...], host: Column, path: Column) -> Column:
 
 def host_links(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``src, dst, n``: links from pages of one host to another host; ``allow, block``: those of them to urls that rules allow or block."""
-    targets = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
+    targets = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
     cut = pages.select(host_and_path(F.col(url))[0].alias("src"), F.explode(targets).alias("target"))
     dst, path = host_and_path(F.when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), F.col("target"))).otherwise(F.col("target")))
     found = cut.select("src", dst.alias("dst"), path.alias("path")).where("src <> dst AND src <> '' AND dst <> ''")
@@ -80,10 +83,8 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html", rules: tu
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in ("allow", "block")))
 
 
-def flow(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, turns: int = TURNS) -> DataFrame:
-    """``host, rank``: personalised PageRank of the seeds (``host, seed``) along ``src, dst, n``; what a host without links holds is not handed on."""
-    out = links.groupBy("src").agg(F.sum("n").alias("all"))
-    shares = stored(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
+def flow(seeds: DataFrame, shares: DataFrame, damping: float = DAMPING, turns: int = TURNS) -> DataFrame:
+    """``host, rank``: personalised PageRank of the seeds (``host, seed``) along ``src, dst, share``; what a host without links holds is not handed on."""
     own = stored(seeds.select("host", (F.col("seed") * (1 - damping)).alias("own")))
     ranks = own.select("host", F.col("own").alias("rank"))
     if shares.isEmpty():
@@ -103,8 +104,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DA
     links = stored(host_links(pages, rules=rules))
     linked = links.groupBy(F.col("dst").alias("host")).agg(*((F.sum(v) / F.sum("n")).alias(k) for v, k in (("allow", "allowed"), ("block", "blocked"))))
     seeds = stored(hosts.unionByName(linked.where("allowed > 0 OR blocked > 0").join(hosts, "host", "left_anti")))
-    trust = flow(seeds.select("host", F.col("allowed").alias("seed")), links, damping, turns)
-    distrust = flow(seeds.select("host", F.col("blocked").alias("seed")), links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), damping, turns)
+    out = links.groupBy("src").agg(F.sum("n").alias("all"))
+    shares = stored(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
+    trust = flow(seeds.select("host", F.col("allowed").alias("seed")), shares, damping, turns)
+    distrust = flow(seeds.select("host", F.col("blocked").alias("seed")), shares.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share"), damping, turns)
     scores = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
     scores = stored(scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     bad = F.col("distrust") - F.col("trust") >= margin * (1 - damping)

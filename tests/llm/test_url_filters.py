@@ -27,20 +27,22 @@ def plain(pages):
             if host and dst and host != dst:
                 links[host, dst] += 1
 
+    out = Counter()
+    for (a, _), k in links.items():
+        out[a] += k
+
     def flow(seed, edges):
-        out = Counter()
-        for (a, _), k in edges.items():
-            out[a] += k
         own = {h: seed[h] / n[h] * (1 - U.DAMPING) for h in n}
         rank = dict(own)
         for _ in range(U.TURNS if edges else 0):
             new = defaultdict(float, own)
-            for (a, b), k in edges.items():
-                new[b] += rank.get(a, 0) * k / out[a] * U.DAMPING
+            for (a, b), share in edges.items():
+                new[b] += rank.get(a, 0) * share * U.DAMPING
             rank = new
         return rank
 
-    trust, distrust = flow(seeds["allow"], links), flow(seeds["block"], {(b, a): k for (a, b), k in links.items()})
+    shares = {(a, b): k / out[a] for (a, b), k in links.items()}
+    trust, distrust = flow(seeds["allow"], shares), flow(seeds["block"], {(b, a): k for (a, b), k in shares.items()})
     return Counter((host, path, rule.text if rule else None, rule.verdict if rule else ("block" if distrust.get(host, 0) - trust.get(host, 0) >= U.MARGIN * (1 - U.DAMPING) else "allow")) for host, path, rule in seen)
 
 
@@ -83,3 +85,35 @@ def test_linked_hosts_without_pages_are_judged(spark):
     assert {h for h, r in got.items() if r.verdict == "block"} == {"a.test", "e.test", "far.net"}
     assert abs(got["a.test"].distrust - 0.15 * 0.85) < 1e-9 and abs(got["d.test"].distrust - 0.15 * 0.85 / 3) < 1e-9
     assert got["b.test"].distrust == got["c.test"].distrust == 0
+
+
+def test_every_linker_of_a_blocked_host_is_blocked(spark):
+    # friend.test has as bad links as the linkers, and a trusted host links to it
+    pages = [("http://good.org/fr/", "<a href='http://friend.test/'></a>"), ("http://friend.test/", "<a href='http://x1.net/'></a>")]
+    for n in (1, 2, 50, 1000):
+        pages += [(f"http://l{n}-{i}.test/", f"<a href='http://x{n}.net/'></a>") for i in range(n)]
+    pages += [("http://mixed.test/", "<a href='http://x1.net/'></a><a href='http://a.test/'></a><a href='http://b.test/'></a>")]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.host: r.verdict for r in U.judge(df).collect()}
+    assert {h for h, v in got.items() if v == "allow"} == {"good.org", "friend.test", "mixed.test"}
+
+
+def test_sql_with_hosts_that_have_no_pages(spark):
+    import duckdb
+
+    from lintlake.llm.queries import SQL
+
+    pages = [*PAGES, ("http://a.test/", "<a href='http://spam.net/x'>x</a>"), ("http://d.test/", "<a href='http://example.com/de/1'></a><a href='http://gone.example.com/de/'></a>"),
+             ("http://e.test/", "<a href='//nice.org/fr/x'>x</a><a href='http://spam.net/'>"), ("http://f.test/", "<a <a href='http://spam.net/y'>")]
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = Counter(db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({SQL['op2_url_filters']})").fetchall())
+    got = U.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_links_of_hard_pages_take_linear_time(spark):
+    df = spark.createDataFrame([(1, "http://a.test/", "<a " * 300_000 + "<a href='http://b.net/'>")], "page_id bigint, url string, html string")
+    assert [(r.dst, r.block) for r in U.host_links(df).collect()] == [("b.net", 1)]
