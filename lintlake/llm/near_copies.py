@@ -36,8 +36,8 @@ SHINGLE, SEED, LEAST = 5, 42, 0.8
 SEGMENT, SEGMENTS = 16, 8
 REACH = 32
 """Bits in which candidates differ at most; at a likeness of 0.8 they differ in 19, give or take 4."""
-PART = 65_536
-"""Shingles hashed at once."""
+PART, BLOCK = 8_192, 1024 * 1024
+"""Shingles hashed and bytes of text handled at once; they bound memory alone."""
 CROWD = 512
 """More nodes under one variant are compared in turn, not all at once; it bounds memory alone."""
 DENSE = 4
@@ -74,7 +74,7 @@ def with_fingerprints(docs: DataFrame, column: str, kept: list[str]) -> DataFram
     """``kept`` columns, a digest of the words (``d1, d2``) and the fingerprint (``f1, f2``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, column):
+        for batch in blocks(batches, column, BLOCK):
             data, offsets = text_bytes(batch.column(column))
             raw, cuts = data.tobytes(), offsets.tolist()
             out = np.empty((batch.num_rows, 4), np.int64)
@@ -91,7 +91,7 @@ def with_hashes(texts: DataFrame) -> DataFrame:
     """``row, shingles`` of ``row, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, most=BLOCK):
             data, offsets = text_bytes(batch.column("text"))
             raw, cuts = data.tobytes(), offsets.tolist()
             sets = [hashes(raw[a:b].lower().split())[:, 0].view(np.int64) for a, b in zip(cuts, cuts[1:])]
@@ -209,10 +209,14 @@ def candidates(nodes: DataFrame, whole: bool = False) -> DataFrame:
     return written(pairs.groupBy("a", "b").agg(F.max("crowd").alias("crowd")))
 
 
-def alike(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """The ``pairs`` whose texts (``row, text``) have shingle sets of that likeness."""
+def shingle_sets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``row, shingles`` of all texts (``row, text``) in ``pairs``."""
     ends = written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
-    sets = written(with_hashes(texts.join(ends, "row", "left_semi")))
+    return written(with_hashes(texts.join(ends, "row", "left_semi")))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """The ``pairs`` whose shingle sets have that likeness."""
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
     n, m = F.size("x"), F.size("y")
     both = both.where(F.least(n, m) >= least * F.greatest(n, m))
@@ -223,7 +227,8 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame
 def links(nodes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
     """Links ``a, b`` between ``node, f1, f2``, enough to join every group; ``texts`` has ``row`` (the node) and ``text``."""
     pairs = candidates(nodes)
-    out = alike(pairs, texts, least)
+    sets = shingle_sets(pairs, texts)  # later rounds meet no node that has no candidate now
+    out = alike(pairs, sets, least)
     while not pairs.where("crowd").isEmpty():
         # groups of candidates that hold a forest and fell apart
         groups = components(pairs.select("a", "b")).withColumnRenamed("root", "group")
@@ -236,10 +241,10 @@ def links(nodes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame
         if rest.isEmpty():
             break
         pairs = candidates(rest)
-        fresh = alike(pairs, texts, least)
+        fresh = alike(pairs, sets, least)
         last = fresh.isEmpty()
         if last:
-            fresh = alike(candidates(rest, whole=True), texts, least)
+            fresh = alike(candidates(rest, whole=True), sets, least)
         out = stored(out.unionByName(fresh).dropDuplicates(["a", "b"]))
         if last:
             break
