@@ -34,8 +34,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # the workers hold other stages' data too: smaller caches and blocks
-    return bpe.encode(docs, VOCABULARY, digests=True, cache=150_000, block=2 * 1024 * 1024)
+    # executors hold other stages' heap too: smaller caches and blocks, and none left behind
+    return bpe.encode(docs, VOCABULARY, digests=True, cache=75_000, block=1024 * 1024, keep=False)
 
 
 STAGES = [

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import blocks, with_fields
+from .common import blocks, release, with_fields
 
 INF = 1 << 60
 LONG_WORD = 512
@@ -72,6 +72,9 @@ class Recent:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
+
     def missing(self, keys: set) -> list:
         """The keys that are not held; those of the older generation move up."""
         if len(self.new) > self.most:
@@ -288,11 +291,12 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str, column: str = "text", digests: bool = False, ids: bool = True, cache: int = CACHE, block: int = BLOCK) -> DataFrame:
+def encode(docs: DataFrame, path: str, column: str = "text", digests: bool = False, ids: bool = True, cache: int = CACHE, block: int = BLOCK, keep: bool = True) -> DataFrame:
     """The other columns of ``docs``, ``n_tokens`` and, as asked, ``ids`` (array) and digests of ids and decoded text.
 
     Columns of ``docs`` with one of these names give way to the new ones.  ``cache`` and
-    ``block`` trade a worker's memory for time; the result is the same.
+    ``block`` trade a worker's memory for time, as does ``keep`` (the cache stays for the
+    worker's next task); the result is the same.
     """
     new = {"n_tokens": "bigint"} | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {}) | ({"ids": "array<int>"} if ids else {})
     kept = [c for c in docs.columns if c != column and c.lower() not in new]
@@ -301,18 +305,28 @@ def encode(docs: DataFrame, path: str, column: str = "text", digests: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(spec.value)
         vocab.word_cache.most = vocab.chunk_cache.most = cache
+        collecting = gc.isenabled()
         gc.disable()  # tries are many small objects without cycles
-        for batch in blocks(batches, column, block):
-            both = vocab.encode_block(batch.column(column).to_pylist())
-            arrays = [batch.column(c) for c in kept]
-            counts = [i.count(" ") + 1 if i else 0 for i, _ in both]
-            arrays.append(pa.array(counts, pa.int64()))
-            if digests:
-                arrays += [pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in both], pa.string()) for k in (0, 1)]
-            if ids:
-                flat = np.fromstring(" ".join(i for i, _ in both if i), np.int32, sep=" ")
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
+        try:
+            for batch in blocks(batches, column, block):
+                both = vocab.encode_block(batch.column(column).to_pylist())
+                arrays = [batch.column(c) for c in kept]
+                counts = [i.count(" ") + 1 if i else 0 for i, _ in both]
+                arrays.append(pa.array(counts, pa.int64()))
+                if digests:
+                    arrays += [pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in both], pa.string()) for k in (0, 1)]
+                if ids:
+                    flat = np.fromstring(" ".join(i for i, _ in both if i), np.int32, sep=" ")
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32())))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
+        finally:  # the worker goes on with tasks of other stages
+            if collecting:
+                gc.enable()
+            if not keep:
+                vocab.word_cache.clear()
+                vocab.chunk_cache.clear()
+                vocab.fits.clear()
+                release()
 
     return docs.select(*kept, column).mapInArrow(run, with_fields(kept, docs.schema, **new))
 

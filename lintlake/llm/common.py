@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -70,6 +71,14 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             start = end
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker is reused by other stages, and would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def with_fields(kept: list[str], schema: T.StructType, **added: str) -> str:
     """DDL of the ``kept`` fields of a schema followed by the added ones."""
     parts = [f"`{c.replace('`', '``')}` {schema[c].dataType.simpleString()}" for c in kept]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, numbered, restored, stored, text_bytes, with_fields, written
+from .common import blocks, numbered, release, restored, stored, text_bytes, with_fields, written
 from .graph import components
 
 SHINGLE, SEED, LEAST = 5, 42, 0.8
@@ -83,6 +83,7 @@ def with_fingerprints(docs: DataFrame, column: str, kept: list[str]) -> DataFram
                 out[i, :2] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
                 out[i, 2:] = fingerprint(hashes(words))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(out[:, k]) for k in range(4))], names=[*kept, "d1", "d2", "f1", "f2"])
+        release()
 
     return docs.select(*kept, column).mapInArrow(run, with_fields(kept, docs.schema, d1="bigint", d2="bigint", f1="bigint", f2="bigint"))
 
@@ -96,6 +97,7 @@ def with_hashes(texts: DataFrame) -> DataFrame:
             raw, cuts = data.tobytes(), offsets.tolist()
             sets = [hashes(raw[a:b].lower().split())[:, 0].view(np.int64) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], names=["row", "shingles"])
+        release()
 
     return texts.select("row", "text").mapInArrow(run, "row bigint, shingles array<bigint>")
 
@@ -203,6 +205,7 @@ def candidates(nodes: DataFrame, whole: bool = False) -> DataFrame:
                 yield from found(keys[:cut], [v[:cut] for v in values])
         if len(held_keys):
             yield from found(held_keys, held)
+        release()
 
     index = nodes.select(*columns, F.explode(variants()).alias("key"))
     pairs = index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, crowd boolean")

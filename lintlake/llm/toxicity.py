@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, with_fields
+from .common import blocks, release, with_fields
 from .labelled import held_out, prior, training_rows
 
 SAMPLE = 2_000
@@ -140,6 +140,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "text"
         for batch in blocks(batches, column):
             z = np.clip(sums(batch.column(column).to_pylist(), weights) + intercept, -30, 30)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(1 / (1 + np.exp(-z)))], names=[*kept, name])
+        release()
 
     return docs.mapInArrow(run, with_fields(kept, docs.schema, **{name: "double"}))
 

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -57,3 +58,18 @@ def test_odd_rows(spark, odd, none):
     back = bpe.decode(out, PATH)
     assert Counter((r.doc_id, r.text) for r in back.select("doc_id", "text").collect()) == Counter((r.doc_id, plain(r.text)[1]) for r in odd.collect())
     assert bpe.encode(none, PATH).collect() == []
+
+
+def test_a_worker_is_left_as_it_was_found(spark):
+    import gc
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha gamma")], "doc_id long, text string").coalesce(1)
+    kept = {r["doc_id"]: r for r in bpe.encode(docs, PATH, digests=True).collect()}
+    left = {r["doc_id"]: r for r in bpe.encode(docs, PATH, digests=True, cache=1, block=1, keep=False).collect()}
+    assert kept == left
+
+    def collecting(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gc.isenabled()] * batch.num_rows)], names=["on"])
+
+    assert all(r["on"] for r in docs.select("doc_id").mapInArrow(collecting, "on boolean").collect())
