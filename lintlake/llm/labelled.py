@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 def held_out(key: Column, parts: int, part: int) -> Column:
     """Whether a row is kept from training: the CRC-32 of its id as text leaves this remainder (a null id counts as an empty text)."""
@@ -25,10 +27,16 @@ def training_ids(labels: DataFrame, label: str, parts: int, part: int, most: int
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, most: int, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """``id, label, text`` of the chosen rows; texts are only read, not shuffled."""
+    """``id, label, text`` of the chosen rows, written once: at most ``2 * most``, whatever the table holds.
+
+    Of documents that share an id one counts, that of the least text hash (each task keeps
+    one of an id before the shuffle); a null text is an empty one.
+    """
     ids = training_ids(labels, label, parts, part, most, key)
-    texts = docs.select(F.col(key).alias("id"), F.col(column).alias("text"))
-    return texts.join(F.broadcast(ids), "id").select("id", "label", "text")
+    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(ids), "id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("one")
+    return written(rows.groupBy("id").agg(one).select("id", "one.label", "one.text"))
 
 
 def prior(labels: DataFrame, label: str, parts: int, part: int, key: str = "doc_id") -> float:

@@ -6,9 +6,11 @@ dense layer turns the pooled answers into the chunk's logit, and a logistic laye
 the mean, least and largest logit of all chunks into one probability.
 
 A filter over bytes is a table (place, byte) of answers that are added up, so a block is
-scored by table look-ups.  Fitting uses at most ``SAMPLE`` labelled rows of each class and
-``CHUNKS`` chunks of each, chosen by hashes; the last layer is fitted to the chunks of the
-whole texts of these rows, which are scored by tasks.  Scores depend on the text alone.
+scored by table look-ups.  Fitting uses at most ``SAMPLE`` labelled rows of each class (one
+row of each id, however often it is repeated).  Every gradient step draws its ``BATCH``
+texts, classes balanced, and of each a chunk out of all chunks of the whole text; tasks cut
+out what was drawn, so the driver holds ``STEPS * BATCH`` chunks at most.  The last layer is
+fitted to the whole texts of these rows, scored by tasks.  Scores depend on the text alone.
 
 Defined cases: null and empty texts are one chunk without answers; without labels of both
 classes every score is the share of class 1; repeated rows get equal scores; very long
@@ -17,7 +19,6 @@ texts are scored whole, piece by piece.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,6 @@ from .labelled import held_out, prior, training_rows
 
 SAMPLE = 1_500
 """Labelled rows of each class that the network is fitted to, at most."""
-CHUNKS = 6
-"""Chunks of each of these rows that the filters are fitted to, at most."""
 HALF = 256
 WIDTH, FILTERS, HIDDEN = 6, 32, 16
 PIECE = 1 << 15
@@ -98,17 +97,26 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def sampled_chunks(text: bytes, key: int, most: int = CHUNKS) -> list[bytes]:
-    """Some chunks of a text, spread over it by a hash of its id, padded to one length."""
-    halves = max(1, -(-len(text) // HALF))
-    starts = np.arange(max(1, halves - 1))
-    if len(starts) > most:
-        starts = np.random.default_rng(key & 0xFFFFFFFF).choice(starts, most, replace=False)
-    return [text[s * HALF : s * HALF + 2 * HALF].ljust(2 * HALF, b"\0") for s in starts.tolist()]
+def chunks_of(length: np.ndarray | int) -> np.ndarray | int:
+    """Number of chunks of a text of so many bytes."""
+    return np.maximum(1, -(-length // HALF) - 1)
 
 
-def fit_filters(chunks: np.ndarray, labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Network:
-    """The network but for its last layer, by stochastic gradient steps on single chunks."""
+def cut_chunk(text: bytes, at: int) -> bytes:
+    """A chunk of a text, padded to the length of all."""
+    return text[at * HALF : at * HALF + 2 * HALF].ljust(2 * HALF, b"\0")
+
+
+def draws(labels: np.ndarray, counts: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """For all steps the texts, classes balanced, and of each one of its ``counts`` chunks."""
+    rng = np.random.default_rng(seed)
+    balance = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
+    text = rng.choice(len(labels), (STEPS, BATCH), p=balance / balance.sum())
+    return text, (rng.random((STEPS, BATCH)) * counts[text]).astype(np.int64)
+
+
+def fit_filters(chunks: np.ndarray, labels: np.ndarray, picks: np.ndarray, seed: int = 7) -> Network:
+    """The network but for its last layer, by stochastic gradient steps on single chunks, those of each row of ``picks``."""
     rng = np.random.default_rng(seed)
     params = {
         "table": rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32),
@@ -118,9 +126,7 @@ def fit_filters(chunks: np.ndarray, labels: np.ndarray, weights: np.ndarray, see
     s = {k: np.zeros_like(v) for k, v in params.items()}
     filled = (chunks != 0).sum(axis=1)
     span = chunks.shape[1] - WIDTH + 1
-    chance = weights / weights.sum()
-    for step in range(1, STEPS + 1):
-        pick = rng.choice(len(chunks), BATCH, p=chance)
+    for step, pick in enumerate(picks, 1):
         x, y = chunks[pick], labels[pick]
         answer = params["table"][0][x[:, :span]]
         for k in range(1, WIDTH):
@@ -133,7 +139,7 @@ def fit_filters(chunks: np.ndarray, labels: np.ndarray, weights: np.ndarray, see
         pre = pooled @ params["w1"] + params["b1"]
         hidden = np.maximum(pre, 0)
         z = hidden @ params["w2"] + params["b2"][0]
-        dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / BATCH).astype(np.float32)
+        dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(pick)).astype(np.float32)
         dpre = np.outer(dz, params["w2"]) * (pre > 0)
         dpool = (dpre @ params["w1"].T)[:, :FILTERS] * (top > 0)
         dtable = np.zeros_like(params["table"])
@@ -141,7 +147,7 @@ def fit_filters(chunks: np.ndarray, labels: np.ndarray, weights: np.ndarray, see
         for k in range(WIDTH):
             np.add.at(dtable[k], (np.take_along_axis(x, where + k, axis=1), column), dpool)
         grads = {"table": dtable, "bias": dpool.sum(axis=0), "w1": pooled.T @ dpre, "b1": dpre.sum(axis=0), "w2": hidden.T @ dz, "b2": np.array([dz.sum()])}
-        rate = RATE * (1 - 0.9 * step / STEPS)
+        rate = RATE * (1 - 0.9 * step / len(picks))
         for k, g in grads.items():
             g = g + 1e-4 * params[k]
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -169,24 +175,29 @@ def fit_last(net: Network, summary: np.ndarray, labels: np.ndarray, share: float
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | float:
     """The network of the labelled rows that are not held out; the share of class 1 if there is one class alone."""
     chosen = training_rows(docs, labels, "quality", PARTS, PART, sample)
-    ident = with_fields(["id"], docs.select(F.col("doc_id").alias("id")).schema)
+    ident = with_fields(["id"], chosen.schema)
+    share = prior(labels, "quality", PARTS, PART)
+    rows = chosen.select("id", "label", F.octet_length("text").alias("bytes")).toArrow().sort_by("id")  # at most 2 * sample
+    y = rows.column("label").to_numpy().astype(float)
+    if not len(y) or y.min() == y.max():
+        return share
+    text, chunk = draws(y, chunks_of(rows.column("bytes").to_numpy().astype(np.int64)))
+    pairs, picks = np.unique(np.stack([text.ravel(), chunk.ravel()], axis=1), axis=0, return_inverse=True)
+    ids = rows.column("id").to_pylist()
+    wanted: dict = {}
+    for t, c in pairs.tolist():
+        wanted.setdefault(ids[t], []).append(c)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             data, offsets = text_bytes(batch.column("text"))
-            raw = data.tobytes()
-            pieces = [sampled_chunks(raw[a:b], zlib.crc32(str(k).encode())) for k, a, b in zip(batch.column("id").to_pylist(), offsets.tolist(), offsets.tolist()[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([b"".join(p) for p in pieces], pa.binary())], names=["id", "label", "chunks"])
+            raw, offs, keys = data.tobytes(), offsets.tolist(), batch.column("id").to_pylist()
+            pieces = [b"".join(cut_chunk(raw[a:b], c) for c in wanted.get(k, ())) for k, a, b in zip(keys, offs, offs[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(pieces, pa.binary())], names=["id", "chunks"])
 
-    got = chosen.mapInArrow(cut, ident + ", label int, chunks binary").toArrow().sort_by("id")  # at most 2 * sample rows of CHUNKS chunks
-    share = prior(labels, "quality", PARTS, PART)
-    y = got.column("label").to_numpy().astype(float)
-    if not len(y) or y.min() == y.max():
-        return share
-    parts = [np.frombuffer(c, np.uint8).reshape(-1, 2 * HALF) for c in got.column("chunks").to_pylist()]
-    each = np.array([len(p) for p in parts])
-    balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    net = fit_filters(np.concatenate(parts), np.repeat(y, each), np.repeat(balance / each, each))
+    got = chosen.mapInArrow(cut, ident + ", chunks binary").toArrow().sort_by("id")  # at most STEPS * BATCH chunks
+    drawn = np.frombuffer(b"".join(got.column("chunks").to_pylist()), np.uint8).reshape(-1, 2 * HALF)
+    net = fit_filters(drawn, y[pairs[:, 0]], picks.reshape(text.shape))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):

@@ -6,8 +6,9 @@ features are scaled by these ratios, and a logistic regression is fitted to them
 weights go to the tasks as one vector of fixed size, and every whole text is scored where it
 is read: no shuffle.
 
-Fitting uses at most ``SAMPLE`` labelled rows of each class, chosen by a hash of the id;
-more labels do not make the driver's share grow.  Scores depend on the text alone.
+Fitting uses at most ``SAMPLE`` labelled rows of each class, chosen by a hash of the id (one
+row of each id, however often it is repeated); n-grams are counted by tasks, and more labels
+do not make the driver's share grow.  Scores depend on the text alone.
 
 Defined cases: null and empty texts have no features and get the share of class 1 as score;
 without labels of both classes every score is the share of class 1; repeated rows get equal
@@ -83,20 +84,21 @@ def sums(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, share: float) -> tuple[np.ndarray, float]:
-    """Weights of all buckets (ratio times coefficient) and the intercept, for classes of which the second has this share."""
-    flat, size = np.concatenate(rows), 1 << BITS
-    lengths = np.array([len(r) for r in rows])
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-    toxic = (labels == 1)[of]
-    p = np.bincount(flat[toxic], minlength=size).astype(float)
-    q = np.bincount(flat[~toxic], minlength=size).astype(float)
-    n1, n0 = labels.sum(), (1 - labels).sum()
+def ratios(p: np.ndarray, q: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-count ratio of every bucket that ``p`` of ``n1`` toxic and ``q`` of ``n0`` other texts have; 0 where it says too little."""
     ratio = np.log((p + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((q + SMOOTH) / (n0 + 2 * SMOOTH))
     ratio[(p + q < LEAST_COUNT) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    keep = (ratio != 0)[flat]
-    flat, of = flat[keep], of[keep]
-    del rows, toxic, keep  # they are as large as all features of the sample
+    return ratio
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    """Weights of all buckets (ratio times coefficient) and the intercept, for classes of which the second has this share.
+
+    ``rows`` are the buckets of each text that have a ratio.
+    """
+    flat = np.concatenate(rows)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    n1, n0 = labels.sum(), (1 - labels).sum()
     used = np.flatnonzero(ratio)
     where = np.searchsorted(used, flat).astype(np.int32)
     # The intercept is the log odds of the classes, so a text that says nothing gets the share of class 1.
@@ -108,26 +110,45 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float) -> tuple[np.nd
         gradient = np.bincount(where, weights=error[of], minlength=len(used)) * x / len(labels) + DECAY * w / len(labels)
         speed += gradient**2
         w -= RATE * gradient / np.sqrt(speed)
-    weights = np.zeros(size, np.float32)
+    weights = np.zeros(len(ratio), np.float32)
     weights[used] = w * x
     return weights, float(np.log(share / (1 - share)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The classifier of the labelled rows that are not held out."""
+    """The classifier of the labelled rows that are not held out.
+
+    The driver gets one row per bucket, then of each chosen text only the buckets that have a ratio.
+    """
+    chosen = training_rows(docs, labels, "toxic", PARTS, PART, sample)
+    share = prior(labels, "toxic", PARTS, PART)
+    size = 1 << BITS
+    n = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
+    if len(n) < 2:
+        return np.zeros(size, np.float32), float(np.log(share / (1 - share)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((2, size), np.int64)
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                both[y, features(text)] += 1
+        at = np.flatnonzero(both.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[1, at]), pa.array(both[0, at])], names=["bucket", "p", "q"])
+
+    sums_ = chosen.mapInArrow(count, "bucket bigint, p bigint, q bigint").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
+    p, q = np.zeros(size), np.zeros(size)
+    p[sums_.column("bucket").to_numpy()], q[sums_.column("bucket").to_numpy()] = sums_.column("p").to_numpy(), sums_.column("q").to_numpy()
+    ratio = ratios(p, q, n[1], n[0])
+    telling = ratio != 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            rows = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "label", "f"])
+            found = [(f := features(t))[telling[f]].tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], names=["id", "label", "f"])
 
-    chosen = training_rows(docs, labels, "toxic", PARTS, PART, sample).mapInArrow(run, with_fields(["id"], docs.select(F.col("doc_id").alias("id")).schema, label="int", f="binary"))
-    got = chosen.toArrow().sort_by("id")  # at most 2 * sample rows (times how often an id is repeated) of at most 2 MB
-    share = prior(labels, "toxic", PARTS, PART)
-    y = got.column("label").to_numpy().astype(float)
-    if not len(y) or y.min() == y.max():
-        return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
+    got = chosen.mapInArrow(run, with_fields(["id"], chosen.schema, label="int", f="binary")).toArrow().sort_by("id")
     vectors = [np.frombuffer(f.as_buffer(), np.int32) for f in got.column("f")]  # views, no copies
-    return fit(vectors, y, share)
+    return fit(vectors, got.column("label").to_numpy().astype(float), ratio, share)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "text", name: str = "score") -> DataFrame:

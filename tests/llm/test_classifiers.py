@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter
@@ -5,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lintlake.llm import quality, toxicity
+from lintlake.llm import labelled, quality, toxicity
 
 WORDS = [a + b + c for a in ("th", "er", "on", "an") for b in ("ea", "in", "ti", "or") for c in ("st", "nd", "", "ly")]
 RUDE = ["zorbag", "Klumpft", "vexnor"]
@@ -94,10 +95,77 @@ def test_civil_documents_stay(tables):
 
 
 def test_every_byte_counts_and_chunks_overlap():
-    net = quality.fit_filters(np.zeros((2, 512), np.uint8), np.array([0.0, 1.0]), np.ones(2))
+    net = quality.fit_filters(np.zeros((2, 512), np.uint8), np.array([0.0, 1.0]), np.zeros((20, 8), int))
     text = bytes(range(1, 200)) * 20
     base, starts = net.pooled(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     assert starts.tolist() == [0, -(-len(text) // 256) - 1]
     both, s2 = net.pooled(np.frombuffer(b"abc" + text + b"z" * 9, np.uint8), np.array([0, 3, 3, 3 + len(text), 12 + len(text)]))
     assert np.array_equal(both[s2[2] : s2[3]], base) and len(both) == s2[-1] == len(base) + 3
     assert not both[s2[1]].any() and not both[s2[0], : quality.FILTERS].any()
+
+
+def test_repeated_ids_do_not_make_the_sample_grow(spark, tables):
+    rows, docs, labels = tables
+    many = docs.crossJoin(spark.range(30)).selectExpr("doc_id", "concat(text, if(id = 0, '', cast(id as string))) text")
+    got = labelled.training_rows(many, labels, "toxic", 4, 2, 5).collect()
+    assert len(got) == len({r.id for r in got}) == 10
+    again = labelled.training_rows(many.repartition(7), labels, "toxic", 4, 2, 5).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in again}
+
+
+def test_toxicity_against_dictionaries(tables):
+    rows, docs, labels = tables
+    weights, intercept = toxicity.train(docs, labels)
+    learned = [(set(toxicity.features(t).tolist()), x) for i, t, x, _ in rows if i % 5 and zlib.crc32(str(i).encode()) % 4 != 2]
+    n = Counter(x for _, x in learned)
+    count = Counter((f, x) for fs, x in learned for f in fs)
+    ratio = {}
+    for f in {f for fs, _ in learned for f in fs}:
+        p, q = count[f, 1], count[f, 0]
+        r = math.log((p + 1) / (n[1] + 2)) - math.log((q + 1) / (n[0] + 2))
+        if p + q >= 6 and abs(r) >= 1:
+            ratio[f] = r
+    w, speed, b = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 1e-6), math.log((n[1] + 1) / (n[0] + 1))
+    texts = [([f for f in fs if f in ratio], x) for fs, x in learned]
+    for _ in range(toxicity.ROUNDS):
+        slope = dict.fromkeys(ratio, 0.0)
+        for fs, x in texts:
+            z = max(-30.0, min(30.0, b + sum(w[f] * ratio[f] for f in fs)))
+            error = 1 / (1 + math.exp(-z)) - x
+            for f in fs:
+                slope[f] += error
+        for f in ratio:
+            g = slope[f] * ratio[f] / len(texts) + w[f] / len(texts)
+            speed[f] += g * g
+            w[f] -= 0.3 * g / math.sqrt(speed[f])
+    assert set(np.flatnonzero(weights).tolist()) <= set(ratio)
+    assert np.allclose([weights[f] for f in ratio], [w[f] * ratio[f] for f in ratio], atol=1e-4)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, (weights, intercept)).collect()}
+    for i, t, _, _ in rows[:60]:
+        z = intercept + sum(w.get(f, 0) * ratio.get(f, 0) for f in set(toxicity.features(t).tolist()))
+        assert abs(scores[i] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-3
+
+
+def test_quality_against_loops(tables):
+    rows, docs, labels = tables
+    net = quality.train(docs, labels)
+    scores = {r.doc_id: r.score for r in quality.score(docs, net).collect()}
+    for i, t, _, _ in sorted(rows, key=lambda r: len(r[1]))[:: len(rows) // 8]:
+        text, z = t.encode(), []
+        for c in range(quality.chunks_of(len(text))):
+            # a filter lies in the text and begins in the chunk
+            starts = range(c * 256, min(c * 256 + 512, len(text) - quality.WIDTH + 1))
+            best = [max([0.0, *(sum(float(net.table[k, text[s + k], f]) for k in range(quality.WIDTH)) + float(net.bias[f]) for s in starts)]) for f in range(quality.FILTERS)]
+            full = max(0, min(len(text) - c * 256, 512) - quality.WIDTH + 1) / 512
+            hidden = [max(0.0, sum(x * float(net.w1[j, h]) for j, x in enumerate([*best, full])) + float(net.b1[h])) for h in range(quality.HIDDEN)]
+            z.append(max(-20.0, min(20.0, sum(x * float(w) for x, w in zip(hidden, net.w2)) + net.b2)))
+        three = [sum(z) / len(z), min(z), max(z)]
+        total = net.intercept + sum((x - m) / s * w for x, m, s, w in zip(three, net.mean, net.scale, net.last))
+        assert abs(scores[i] - 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))) < 1e-3
+
+
+def test_draws_reach_all_chunks_and_both_classes():
+    y, counts = np.array([0.0] * 9 + [1.0]), np.array([1] * 9 + [400])
+    text, chunk = quality.draws(y, counts)
+    assert abs(y[text].mean() - 0.5) < 0.02 and (chunk < counts[text]).all()
+    assert len(np.unique(chunk[text == 9])) == 400
