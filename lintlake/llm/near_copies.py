@@ -4,8 +4,9 @@ Texts of five-word shingles with a likeness (Jaccard) of 0.8 differ in about 15
 of a SimHash, too many for 64 bits in few segments.  So fingerprints here have 128 bits in
 eight segments: one of them differs in one bit at most for 93 of 100 such pairs, and for more
 the more they are alike.  Fingerprints are indexed under the one-wildcard variants of their
-segments, equal variants meet in one shuffle, pairs within ``REACH`` bits are candidates, and
-a candidate is a link if the likeness of the whole shingle sets is ``least`` or more.
+segments, equal variants meet in one shuffle, pairs within ``REACH`` bits are candidates;
+sizes and sketches of the shingle sets rule out most that are no links, and what is left
+is a link if the likeness of the whole shingle sets is ``least`` or more.
 
 Equal word sequences are one node before the index.  Where many nodes of a variant are near
 one another, the candidates are a spanning forest of least distances instead of all pairs.
@@ -40,6 +41,8 @@ PART, BLOCK = 8_192, 1024 * 1024
 """Shingles hashed and bytes of text handled at once; they bound memory alone."""
 CROWD = 512
 """More nodes under one variant are compared in turn, not all at once; it bounds memory alone."""
+SKETCH = 16
+"""Words of 64 bits of a set's sketch: which of 1,024 buckets its hashes fall into."""
 DENSE = 4
 """With more near pairs than this for each node, a variant gives a spanning forest."""
 
@@ -88,18 +91,28 @@ def with_fingerprints(docs: DataFrame, column: str, kept: list[str]) -> DataFram
     return docs.select(*kept, column).mapInArrow(run, with_fields(kept, docs.schema, d1="bigint", d2="bigint", f1="bigint", f2="bigint"))
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Which buckets a set of hashes falls into, as ``SKETCH`` words."""
+    marks = np.zeros(SKETCH * 64, np.uint8)
+    marks[(found.view(np.uint64) % np.uint64(SKETCH * 64)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").view(np.int64)
+
+
 def with_hashes(texts: DataFrame) -> DataFrame:
-    """``row, shingles`` of ``row, text``."""
+    """``row, shingles, n`` (their number) and the sketch (``s0, s1, ...``) of ``row, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, most=BLOCK):
             data, offsets = text_bytes(batch.column("text"))
             raw, cuts = data.tobytes(), offsets.tolist()
             sets = [hashes(raw[a:b].lower().split())[:, 0].view(np.int64) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], names=["row", "shingles"])
+            marks = np.stack([sketch(x) for x in sets])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(sets, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(marks[:, k]) for k in range(SKETCH))],
+                names=["row", "shingles", "n", *(f"s{k}" for k in range(SKETCH))])
         release()
 
-    return texts.select("row", "text").mapInArrow(run, "row bigint, shingles array<bigint>")
+    return texts.select("row", "text").mapInArrow(run, "row bigint, shingles array<bigint>, n int, " + ", ".join(f"s{k} bigint" for k in range(SKETCH)))
 
 
 def variants() -> Column:
@@ -218,13 +231,31 @@ def shingle_sets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(with_hashes(texts.join(ends, "row", "left_semi")))
 
 
+def possible(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """The ``pairs`` that may have that likeness, by the sets' sizes and sketches; none that has it is left out.
+
+    What one set has in buckets where the other has nothing is not shared, so each such
+    bucket takes one from what may be.  Pairs carry sketches here and no whole sets, which
+    would be many times their size.
+    """
+    small = lambda end: sets.select(F.col("row").alias(end), F.col("n").alias(f"n{end}"), *(F.col(f"s{k}").alias(f"{end}{k}") for k in range(SKETCH)))
+    both = pairs.join(small("a"), "a").join(small("b"), "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
+
+    def own(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(f"{y}{k}"))) for k in range(SKETCH)), F.lit(0))
+
+    shared = F.least(F.col("na") - own("a", "b"), F.col("nb") - own("b", "a"))
+    # a little less than that likeness, as products are rounded
+    return written(both.where(shared >= (least - 1e-9) * (F.col("na") + F.col("nb") - shared)).select("a", "b", "crowd"))
+
+
 def alike(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """The ``pairs`` whose shingle sets have that likeness."""
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+    whole = sets.select("row", "shingles")
+    both = possible(pairs, sets, least).join(whole.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
     n, m = F.size("x"), F.size("y")
-    both = both.where(F.least(n, m) >= least * F.greatest(n, m))
     shared = F.size(F.array_intersect("x", "y"))
-    return written(both.where(shared / (n + m - shared) >= least).select("a", "b", "crowd"))
+    return written(both.where(F.when(n + m > 0, shared / (n + m - shared)).otherwise(1.0) >= least).select("a", "b", "crowd"))
 
 
 def links(nodes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
