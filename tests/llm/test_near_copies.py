@@ -113,19 +113,17 @@ def test_odd_rows(spark, odd, none):
 
 
 def test_sketches_lose_no_pair(spark):
-    import random
-
     rng = random.Random(8)
     texts = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (3, 9, 60, 300, 3000)]
     for words in list(texts):
         for share in (0.002, 0.01, 0.02, 0.04, 0.1):
             texts.append([w if rng.random() > share else "other" for w in words])
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(len(texts), "")]
-    sets = near_copies.with_hashes(spark.createDataFrame(rows, "row bigint, text string"))
-    own = [set(near_copies.hashes(t.encode().split())[:, 0].tolist()) for _, t in rows]
+    sets = N.with_hashes(spark.createDataFrame(rows, "row bigint, text string"))
+    own = [set(N.hashes(t.encode().split())[:, 0].tolist()) for _, t in rows]
     every = [(i, j, False) for i in range(len(rows)) for j in range(i + 1, len(rows))]
     pairs = spark.createDataFrame(every, "a bigint, b bigint, crowd boolean")
     want = {(i, j) for i, j, _ in every if own[i] | own[j] and len(own[i] & own[j]) / len(own[i] | own[j]) >= 0.8}
-    kept = {(r.a, r.b) for r in near_copies.possible(pairs, sets).collect()}
+    kept = {(r.a, r.b) for r in N.possible(pairs, sets).collect()}
     assert want <= kept and len(kept) < len(want) + 20
-    assert {(r.a, r.b) for r in near_copies.alike(pairs, sets).collect()} == want and len(want) > 8
+    assert {(r.a, r.b) for r in N.alike(pairs, sets).collect()} == want and len(want) > 8
