@@ -11,7 +11,7 @@ is a link if the likeness of the whole shingle sets is ``least`` or more.
 Equal word sequences are one node before the index.  Where many nodes of a variant are near
 one another, the candidates are a spanning forest of least distances instead of all pairs.
 A forest link may fail where another would not; so the groups that hold such a forest and
-fell apart are indexed again, by forests between their parts as long as these join some, and
+fell apart are indexed again, by forests between their parts as long as these join many, and
 at last by all pairs between parts.  What is left apart has no candidate that was not compared.
 
 Defined cases: null and empty texts, and texts of white space, are copies of one another and
@@ -43,6 +43,8 @@ CROWD = 512
 """More nodes under one variant are compared in turn, not all at once; it bounds memory alone."""
 SKETCH = 16
 """Words of 64 bits of a set's sketch: which of 1,024 buckets its hashes fall into."""
+FRUITLESS = 50
+"""Forests of which at most one link in so many holds are followed by all pairs; it bounds the rounds alone."""
 DENSE = 4
 """With more near pairs than this for each node, a variant gives a spanning forest."""
 
@@ -276,9 +278,9 @@ def links(nodes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame
             break
         pairs = candidates(rest)
         fresh = alike(pairs, sets, least)
-        last = fresh.isEmpty()
+        last = fresh.count() * FRUITLESS <= pairs.count()
         if last:
-            fresh = alike(candidates(rest, whole=True), sets, least)
+            fresh = fresh.unionByName(alike(candidates(rest, whole=True), sets, least))
         out = stored(out.unionByName(fresh).dropDuplicates(["a", "b"]))
         if last:
             break
