@@ -369,7 +369,7 @@ SELECT repo, path FROM sel f WHERE NOT EXISTS (SELECT 1 FROM (
 
 def _arriving(s: SparkSession, d: str) -> DataFrame:
     """Conversation turns arriving as text files."""
-    turns = ST.read_files(s, d, "conv_id bigint, turn bigint, role string, text string", pathGlobFilter="conversations.parquet")
+    turns = ST.read_arriving(s, d, "conversations", "conv_id bigint, turn bigint, role string, text string")
     return turns.select(
         F.concat(F.lit("chat-"), "role").alias("repo"),
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/t"), F.col("turn").cast("string"), F.lit(".md")).alias("path"),

@@ -22,6 +22,15 @@ def read_files(spark: SparkSession, path: str, schema: str = FILES_SCHEMA, files
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).options(**options).parquet(path)
 
 
+def read_arriving(spark: SparkSession, sf_dir: str, table: str, schema: str, files_per_batch: int = BATCH_FILES) -> DataFrame:
+    """A table's Parquet files as they arrive; the table is one file or a folder of files.
+
+    The name is given as a pattern: Spark takes a plain path of a stream for a folder, and
+    a filter on the names of files would leave out the parts of a table that is a folder.
+    """
+    return read_files(spark, f"{sf_dir}/{{{table}.parquet}}", schema, files_per_batch)
+
+
 def stream_findings(files: DataFrame, profile: str = "extended", groups: tuple[str, ...] | None = None) -> DataFrame:
     """Findings of a stream.  Rules are projections, so this is the batch plan unchanged;
     dedupe happens inside each file and needs no state."""
@@ -58,13 +67,15 @@ def run_folder(spark: SparkSession, *parts: str) -> str:
 
 def land(query_input: DataFrame, mode: str = "append") -> str:
     """Process everything that is there; the folder of the result."""
-    base = run_folder(query_input.sparkSession)
+    spark = query_input.sparkSession
+    base = run_folder(spark)
     out = f"{base}/out"
 
     if mode == "append":
         q = query_input.writeStream.format("parquet").option("path", out)
     else:
-        # complete/update results replace the table of the batch before
+        # complete/update results replace the table of the batch before; without any batch it is empty
+        spark.createDataFrame([], query_input.schema).write.parquet(out)
         q = query_input.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
     q = q.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
