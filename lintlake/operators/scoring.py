@@ -187,8 +187,11 @@ def _worst() -> Column:
 
 def file_badges(counts: DataFrame) -> DataFrame:
     """Severity counts, total and worst severity of the files with findings."""
+    # One row each by an outer explode: a filter on the counters themselves would be pushed
+    # below them, and evaluate all rules again for each counter.
+    once = counts.select("repo", "file", F.inline_outer(F.array(F.struct(*SEVERITIES))))
     total = F.col("critical") + F.col("warning") + F.col("info")
-    return counts.withColumn("total", total).where("total > 0").withColumn("worst", _worst())
+    return once.withColumn("total", total).where("total > 0").withColumn("worst", _worst())
 
 
 def dir_rollup(counts: DataFrame) -> DataFrame:

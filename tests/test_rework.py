@@ -8,6 +8,7 @@ import time
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lintlake.functions.text import MARK
 from lintlake.operators import findings as FD
@@ -183,3 +184,18 @@ def test_stream_stops_and_goes_on(spark, tmp_path):
     assert got == sorted(map(tuple, findings(spark.createDataFrame(SAMPLE, FILES)).select(*cols).collect()))
     ST.cancel(q)
     assert not q.isActive
+
+
+def test_badges_evaluate_the_rules_once(spark):
+    """A filter on the counters must not be pushed below the hits, which would find them again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def hits(n):
+        seen.add(1)
+        return [{"rix": r.rix} for r in RULES[:n]]
+
+    found = F.udf(hits, "array<struct<rix:int>>")("n").alias("hits")
+    audited = spark.createDataFrame([("r", f"f{n}", n) for n in range(5)] + [("r", None, 2), (None, "f", 1)], "repo string, path string, n int").select("repo", "path", found)
+    got = {(r.repo, r.file): r.total for r in SC.file_badges(SC.file_counts(audited, RULES)).collect()}
+    assert got == {("r", "f1"): 1, ("r", "f2"): 2, ("r", "f3"): 3, ("r", "f4"): 4, ("r", None): 2, (None, "f"): 1}
+    assert seen.value == 7
