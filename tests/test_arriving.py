@@ -29,6 +29,13 @@ def test_counts_of_a_table_in_parts(spark, tmp_path, layout):
     assert registry.QUERIES["stream_progress"](spark, d).first().files == 36
 
 
+@pytest.mark.parametrize("layout", ["folder", "file"])
+def test_scores_of_a_table_in_parts(spark, tmp_path, layout):
+    d = table(spark, tmp_path, layout)
+    got = {r.repo: (r.total_files, r.total_issues) for r in registry.QUERIES["stream_scores"](spark, d).collect()}
+    assert got == {f"chat{k}": (n, 2 * n) for k, n in enumerate([3, 3, 2, 2, 2])}
+
+
 def test_a_stream_of_no_files_counts_nothing(spark, tmp_path):
     counts = ST.running_counts(ST.stream_findings(ST.read_files(spark, str(tmp_path))))
     out = ST.drain(counts, "complete")
