@@ -5,8 +5,8 @@ of a SimHash, too many for 64 bits in few segments.  So fingerprints here have 1
 eight segments: one of them differs in one bit at most for 93 of 100 such pairs, and for more
 the more they are alike.  Fingerprints are indexed under the one-wildcard variants of their
 segments, equal variants meet in one shuffle, pairs within ``REACH`` bits are candidates;
-sizes and sketches of the shingle sets rule out most that are no links, and what is left
-is a link if the likeness of the whole shingle sets is ``least`` or more.
+sizes and sketches of the shingle sets rule out most that are no links (of all pairs of a dense
+group already in the task that compares their fingerprints), and what is left is a link if the likeness of the whole shingle sets is ``least`` or more.
 
 Equal word sequences are one node before the index.  Where many nodes of a variant are near
 one another, the candidates are a spanning forest of least distances instead of all pairs.
@@ -43,6 +43,8 @@ CROWD = 512
 """More nodes under one variant are compared in turn, not all at once; it bounds memory alone."""
 SKETCH = 16
 """Words of 64 bits of a set's sketch: which of 1,024 buckets its hashes fall into."""
+MARKS = ["n", *(f"s{k}" for k in range(SKETCH))]
+"""What rules out pairs before whole sets are compared: the size of a set and its sketch."""
 FRUITLESS = 50
 """Forests of which at most one link in so many holds are followed by all pairs; it bounds the rounds alone."""
 DENSE = 4
@@ -193,17 +195,34 @@ def _pairs(keys: np.ndarray, f1: np.ndarray, f2: np.ndarray, label: np.ndarray,
                 yield i, j, True
 
 
-def candidates(nodes: DataFrame, whole: bool = False) -> DataFrame:
+def may_link(n: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs, by place, ``possible`` keeps: ``n`` has the sizes of the sets, ``marks`` their sketches by rows."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), PART):
+        a, b = i[at : at + PART], j[at : at + PART]
+        x, y, na, nb = marks[a], marks[b], n[a], n[b]
+        shared = np.minimum(na - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+        out[at : at + PART] = (np.minimum(na, nb) >= least * np.maximum(na, nb)) & (shared >= (least - 1e-9) * (na + nb - shared))
+    return out
+
+
+def candidates(nodes: DataFrame, whole: bool = False, least: float = LEAST) -> DataFrame:
     """Candidates ``a, b, crowd`` (a < b) between ``node, f1, f2`` of different ``label`` (without that column: all differ).
 
     ``whole``: all of them; else forests where they are dense, which are told by ``crowd``.
+    Nodes with ``n, s0, s1, ...`` (of ``with_hashes``): without the pairs that these rule out for ``least``.
     """
-    columns = ["node", "f1", "f2", *(["label"] if "label" in nodes.columns else [])]
+    columns = ["node", "f1", "f2", *(["label"] if "label" in nodes.columns else []), *(MARKS if "n" in nodes.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(keys, values):
-            node, f1, f2, label = values[0], values[1].view(np.uint64), values[2].view(np.uint64), values[-1 if len(values) > 3 else 0]
+            of = dict(zip(columns, values))
+            node, f1, f2, label = of["node"], of["f1"].view(np.uint64), of["f2"].view(np.uint64), of.get("label", of["node"])
+            marks = np.stack([of[c].view(np.uint64) for c in MARKS[1:]], axis=1) if "n" in of else None
             for i, j, crowd in _pairs(keys, f1, f2, label, whole):
+                if marks is not None:
+                    open_ = may_link(of["n"], marks, i, j, least)
+                    i, j = i[open_], j[open_]
                 if len(i):
                     x, y = node[i], node[j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(i), crowd))], names=["a", "b", "crowd"])
@@ -280,7 +299,9 @@ def links(nodes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame
         fresh = alike(pairs, sets, least)
         last = fresh.count() * FRUITLESS <= pairs.count()
         if last:
-            fresh = fresh.unionByName(alike(candidates(rest, whole=True), sets, least))
+            # most pairs of a dense group are no links: what tells so goes along, and rules them out before they are rows
+            marked = rest.join(sets.select(F.col("row").alias("node"), *MARKS), "node")
+            fresh = fresh.unionByName(alike(candidates(marked, whole=True, least=least), sets, least))
         out = stored(out.unionByName(fresh).dropDuplicates(["a", "b"]))
         if last:
             break

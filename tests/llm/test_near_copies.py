@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from lintlake.llm import near_copies as N
 
@@ -127,3 +128,25 @@ def test_sketches_lose_no_pair(spark):
     kept = {(r.a, r.b) for r in N.possible(pairs, sets).collect()}
     assert want <= kept and len(kept) < len(want) + 20
     assert {(r.a, r.b) for r in N.alike(pairs, sets).collect()} == want and len(want) > 8
+
+
+def test_pairs_of_a_dense_group_are_ruled_out_before_they_are_rows(spark):
+    rng = random.Random(4)
+    hub, texts = [f"h{k}" for k in range(150)], []
+    for _ in range(160):
+        other = list(hub)
+        for _ in range(3):
+            other[rng.randrange(150)] = f"y{rng.randrange(9000)}"
+        texts.append(" ".join(other))
+    texts += [" ".join([*t.split(), "end"]) for t in texts[:20]]
+    table = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    found = N.with_fingerprints(table, "text", ["row"]).select(F.col("row").alias("node"), "f1", "f2")
+    nodes = found.withColumn("label", F.col("node")).localCheckpoint()
+    sets = N.with_hashes(table).localCheckpoint()
+    every = N.candidates(nodes, whole=True)
+    few = N.candidates(nodes.join(sets.withColumnRenamed("row", "node").drop("shingles"), "node"), whole=True)
+    links = {(r.a, r.b) for r in N.alike(every, sets).collect()}
+    assert len(links) > 15 and {(r.a, r.b) for r in N.alike(few, sets).collect()} == links
+    assert every.count() > 5_000 and few.count() < len(links) + 400
+    # exactly those that the later step would keep
+    assert {(r.a, r.b) for r in few.collect()} == {(r.a, r.b) for r in N.possible(every, sets).collect()}
